@@ -1,13 +1,17 @@
 """The training-data queries pN_ and, where SQL can express them, the SQL they are compared with."""
 from __future__ import annotations
 
-from . import knn
+from . import knn, lookalike, tokens
 
 
 def queries() -> dict:
     return {
         "p2_found": knn.p2_found,
         "p2_knn": knn.p2_knn,
+        "p7_ids": tokens.p7_ids,
+        "p7_round_trip": tokens.p7_round_trip,
+        "p9_found": lookalike.p9_found,
+        "p9_classes": lookalike.p9_classes,
     }
 
 
