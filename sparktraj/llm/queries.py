@@ -1,13 +1,17 @@
 """The training-data queries pN_ and, where SQL can express them, the SQL they are compared with."""
 from __future__ import annotations
 
-from . import knn, lookalike, tokens
+from . import knn, lookalike, runs, subset, tokens
 
 
 def queries() -> dict:
     return {
+        "p1_found": subset.p1_found,
+        "p1_subset": subset.p1_subset,
         "p2_found": knn.p2_found,
         "p2_knn": knn.p2_knn,
+        "p6_found": runs.p6_found,
+        "p6_runs": runs.p6_runs,
         "p7_ids": tokens.p7_ids,
         "p7_round_trip": tokens.p7_round_trip,
         "p9_found": lookalike.p9_found,
