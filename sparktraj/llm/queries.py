@@ -1,7 +1,7 @@
 """The training-data queries pN_ and, where SQL can express them, the SQL they are compared with."""
 from __future__ import annotations
 
-from . import knn, lookalike, runs, subset, tokens
+from . import clusters, knn, lookalike, runs, subset, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p1_subset": subset.p1_subset,
         "p2_found": knn.p2_found,
         "p2_knn": knn.p2_knn,
+        "p3_found": clusters.p3_found,
+        "p3_clusters": clusters.p3_clusters,
         "p6_found": runs.p6_found,
         "p6_runs": runs.p6_runs,
         "p7_ids": tokens.p7_ids,
