@@ -73,7 +73,7 @@ def mix(targets: DataFrame, docs: DataFrame, seed: int = 23, vocabulary: str = V
     u = (F.pmod(F.xxhash64("doc_id", "mix_name", F.lit(seed)), F.lit(2**40)) + 1) / float(2**40 + 1)
     part = F.col("rate") - F.floor(F.col("rate") + 1e-9)
     rows = rows.select("mix_name", "source", "doc_id", "n_tokens", F.floor(F.col("rate") + 1e-9).alias("whole"), F.when(part > 1e-9, u / part).alias("order"))
-    rows = materialize(rows.withColumn("bin", F.least(F.floor(F.col("order") * BINS), F.lit(64 * BINS))), "rows")
+    rows = materialize(rows.withColumn("bin", F.when(F.col("order").isNotNull(), F.least(F.floor(F.col("order") * BINS), F.lit(64 * BINS)))), "rows")
     have = cells.groupBy("source").agg(F.sum("tokens").alias("available"))
     used = rows.groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("whole_tokens"))
     budget = plans.join(have, "source").join(used, ["mix_name", "source"]).select("mix_name", "source", (F.least(F.col("target"), F.col("available") * F.col("max_repeats")) - F.col("whole_tokens")).alias("budget"))
