@@ -1,7 +1,9 @@
 """All queries of the core and the SQL they are compared with, family by family."""
 from __future__ import annotations
 
-FAMILIES: list = []
+from . import clouds, graphs
+
+FAMILIES: list = [graphs, clouds]
 
 
 def queries() -> dict:
