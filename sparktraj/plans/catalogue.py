@@ -1,9 +1,9 @@
 """All queries of the core and the SQL they are compared with, family by family."""
 from __future__ import annotations
 
-from . import clouds, graphs
+from . import clouds, graphs, sequences
 
-FAMILIES: list = [graphs, clouds]
+FAMILIES: list = [graphs, clouds, sequences]
 
 
 def queries() -> dict:
