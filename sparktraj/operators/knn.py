@@ -55,12 +55,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "euclid
     n, m = points.count(), queries.count()
     blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(m / BLOCK))
     left = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = points.select("id", "x", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block_"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part_"))
+    right = points.select(F.col("id").alias("pid"), F.col("x").alias("px"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block_"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part_"))
 
     def run(q, p):
         if not q.num_rows or not p.num_rows:
             return _nearest(np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1)), k, metric)
-        return _nearest(q.column("id").to_numpy(), matrix(q.column("x")), p.column("id").to_numpy(), matrix(p.column("x")), k, metric)
+        return _nearest(q.column("id").to_numpy(), matrix(q.column("x")), p.column("pid").to_numpy(), matrix(p.column("px")), k, metric)
 
     return top_neighbours(left.groupBy("part", "block").cogroup(right.groupBy("part_", "block_")).applyInArrow(run, NEIGHBOURS), k)
 

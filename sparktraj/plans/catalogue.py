@@ -1,9 +1,9 @@
 """All queries of the core and the SQL they are compared with, family by family."""
 from __future__ import annotations
 
-from . import clouds, graphs, sequences
+from . import clouds, exchange, graphs, sequences, shapes
 
-FAMILIES: list = [graphs, clouds, sequences]
+FAMILIES: list = [graphs, clouds, sequences, shapes, exchange]
 
 
 def queries() -> dict:
