@@ -16,10 +16,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     df = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     if not keys:
         return exact_quantiles(df.withColumn("_k", F.lit(0)), ["_k"], "_v", probs).drop("_k")
-    near = [[max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)] for p in probs]
+    # the sketch errs by n / ACCURACY ranks at most; small groups are bracketed by their whole range
+    near = [[max(0.0, p - 5 / ACCURACY), min(1.0, p + 5 / ACCURACY)] for p in probs]
     flat = [b for n in near for b in n]
     sketch = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", flat, ACCURACY).alias("_a"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    small = F.col("_n") <= 1000
+    small = F.col("_n") <= 2 * ACCURACY
     pairs = [F.struct(F.lit(float(p)).alias("p"), F.when(small | F.lit(near[i][0] == 0), F.col("_lo")).otherwise(F.col("_a")[2 * i]).alias("lo"), F.when(small | F.lit(near[i][1] == 1), F.col("_hi")).otherwise(F.col("_a")[2 * i + 1]).alias("hi")) for i, p in enumerate(probs)]
     sketch = sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", F.array(*pairs).alias("_b"))
     match = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]

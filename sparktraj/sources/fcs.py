@@ -68,7 +68,7 @@ def write_file(path: str, x: np.ndarray, names: list[str], descs: list[str] | No
         keys |= {f"$P{i + 1}N": names[i], f"$P{i + 1}S": (descs or names)[i], f"$P{i + 1}B": "32", f"$P{i + 1}E": "0,0", f"$P{i + 1}R": f"{top[i]:.6g}"}
     keys |= keywords or {}
     body = "|" + "|".join(a.replace("|", "||") + "|" + b.replace("|", "||") for a, b in keys.items())
-    width = len(body.encode("latin-1")) + len("|$BEGINDATA|$ENDDATA||") + 24
+    width = len(body.encode("latin-1")) + len("|$BEGINDATA||$ENDDATA||") + 24
     begin = 58 + width
     data = np.ascontiguousarray(x, "<f4").tobytes()
     text = (body + f"|$BEGINDATA|{begin:012d}|$ENDDATA|{begin + len(data) - 1:012d}|").encode("latin-1")
