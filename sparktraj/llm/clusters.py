@@ -13,7 +13,6 @@ give fewer components; an empty table gives no rows.
 """
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .blocks import kd_build, kd_route, local_sets
 from .common import DIM, hash_sample, matrix, materialize, split_copies, usable_points
 from .knn import BLOCK_ROWS, exchange, in_blocks
@@ -194,32 +194,6 @@ def describe(assigned: DataFrame, typical: int = 5) -> DataFrame:
     return assigned.groupBy("component").agg(F.count("*").alias("size")).join(best, "component")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (u, v), root the smallest node reached: alternating large and small stars.
-
-    Minima are aggregated and joined back, so a hub never stands in one task as a list; each step is a written table.
-    """
-
-    def stamp(e):
-        r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        return r[0], r[1]
-
-    e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = stamp(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
-        after = stamp(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def linked_groups(points: DataFrame, radius: float, least: int = 3, dim: int = DIM) -> DataFrame:
     """(cluster_key, id): connected sets of at least ``least`` points linked within the radius; the key is the smallest id."""
     points = points.select("id", "x").persist()

@@ -1,36 +1,18 @@
 """Shared pieces: materialised tables in the shared folder, current rows, usable points, copies, Arrow conversion."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written as materialize
+
 DIM = 25
 #: Rows up to which a lookup side is broadcast; beyond it the same join runs as a shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sparktraj-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table into the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame) -> tuple[DataFrame, int]:
     """Materialise a lookup side and count it; it is broadcast only up to BROADCAST_ROWS rows."""
     df = materialize(df, "side")

@@ -70,7 +70,7 @@ def draw(plans: DataFrame, population: DataFrame, seed: int = 17) -> tuple[DataF
     have = cells.groupBy("labels_name", "norm").agg(F.sum("n").alias("available"))
     report = plans.join(have, ["labels_name", "norm"], "left").join(got, ["plan_name", "label"], "left")
     report = report.withColumn("taken", F.coalesce("taken", F.lit(0))).withColumn("available", F.coalesce("available", F.lit(0)))
-    report = report.withColumn("gap", F.col("wanted") - F.col("taken")).withColumn("actual_share", F.col("taken") / F.sum("taken").over(Window.partitionBy("plan_name")))
+    report = report.withColumn("gap", F.col("wanted") - F.col("taken")).withColumn("actual_share", F.try_divide("taken", F.sum("taken").over(Window.partitionBy("plan_name"))))
     return sample, report.select("plan_name", "labels_name", "label", "share", "min_rows", "n_total", "wanted", "available", "taken", "gap", "actual_share")
 
 
