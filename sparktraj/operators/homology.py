@@ -89,6 +89,12 @@ def chain_sum(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame
     return both.groupBy(*keys, "e").agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys, "e")
 
 
+def is_cycle(chains: DataFrame, boundary: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., cycle): whether the boundary of each chain (keys..., e) vanishes."""
+    f = chains.join(boundary.select(F.col("sidx").alias("e"), F.explode("faces").alias("f")), "e").groupBy(*keys, "f").agg((F.count("*") % 2).alias("odd"))
+    return f.groupBy(*keys).agg((F.max("odd") == 0).alias("cycle"))
+
+
 def shortest_path(near: dict, a: int, b: int) -> list[int] | None:
     dist, back, heap = {a: 0.0}, {}, [(0.0, a)]
     while heap:

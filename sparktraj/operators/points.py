@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashrand import uniform
+from ..functions.ordered import numbered, running_sum
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import written
 from .sparse import sparse_times_vectors
@@ -81,11 +82,11 @@ def densities(lists: DataFrame, k: int, d: float = 2.0) -> DataFrame:
 
 def down_sample(lists: DataFrame, n_keep: int, k: int = 10, d: float = 2.0, seed: int = 7) -> DataFrame:
     """(id): density-dependent sample. The boundary density is chosen so that about n_keep rows stay: dense rows stay with
-    probability boundary / density. Sums run over density values folded to four significant digits' order by range windows."""
+    probability boundary / density."""
     dens = written(densities(lists, k, d), "density")
     # sum of 1/dens over rows at least as dense, per distinct density
     by = dens.groupBy("dens").agg((F.count("*") / F.col("dens")).alias("inv"))
-    cdf = by.withColumn("cdf", F.sum("inv").over(Window.orderBy(F.desc("dens"))))
+    cdf = running_sum(by, [], [F.desc("dens")], "inv", "cdf")
     cdf = cdf.withColumn("target", n_keep / F.col("cdf"))
     whole = cdf.agg((n_keep / F.max("cdf")).alias("all"), F.min("dens").alias("least"))
     first = cdf.where("target <= dens").agg(F.min_by("target", "dens").alias("b"))
@@ -104,14 +105,16 @@ def upsample_labels(labels: DataFrame, n: int, take_all: str | None = None, repl
     With replacement draw j takes row floor(u_j * size) of its label in order of id."""
     rest = labels if take_all is None else labels.where(F.col("label") != take_all)
     if replace:
-        w = Window.partitionBy("label").orderBy("id")
-        rows = rest.withColumn("k", F.row_number().over(w) - 1)
+        rows = numbered(rest.select("id", "label"), ["label"], [F.col("id")], "k").withColumn("k", F.col("k") - 1)
         sizes = rest.groupBy("label").agg(F.count("*").alias("size")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        picks = sizes.withColumn("k", F.floor(uniform(seed, "label", "draw") * F.col("size")).cast("int"))
+        picks = sizes.withColumn("k", F.floor(uniform(seed, "label", "draw") * F.col("size")).cast("long"))
         out = picks.join(rows, ["label", "k"]).select("id", "label", "draw")
     else:
-        w = Window.partitionBy("label").orderBy(uniform(seed, "label", "id"), "id")
-        out = rest.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= n).select("id", "label", "draw")
+        # first within 32 salts of a label, then of what is left
+        keyed = rest.select("id", "label", uniform(seed, "label", "id").alias("u"))
+        for by in (["label", F.pmod(F.xxhash64("id"), F.lit(32))], ["label"]):
+            keyed = keyed.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy("u", "id"))).where(F.col("draw") <= n)
+        out = keyed.select("id", "label", "draw")
     if take_all is not None:
         out = out.unionByName(labels.where(F.col("label") == take_all).select("id", "label", F.lit(0).alias("draw")))
     return out

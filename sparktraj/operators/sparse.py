@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import written
 
@@ -97,13 +98,9 @@ def laplacian(lists: DataFrame, name: str = "semer") -> DataFrame:
 
 
 def rank_bins(pt: DataFrame, breaks: int) -> DataFrame:
-    """(id, t, bin): equal-width bins of the dense rank of pt. The ranks come from distinct values, numbered within range
-    partitions whose counts are added up, so no single task sorts the column."""
-    values = written(pt.select("pt").distinct().repartitionByRange("pt").sortWithinPartitions("pt").withColumn("part", F.spark_partition_id()), "values")
-    sizes = values.groupBy("part").agg(F.count("*").alias("c"), F.min("pt").alias("first"))
-    before = sizes.withColumn("before", F.sum("c").over(Window.orderBy("first")) - F.col("c"))  # one row per partition
-    r = values.join(F.broadcast(before.select("part", "before")), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("pt")) + F.col("before"))
-    top = values.agg(F.count("*").alias("top"))
+    """(id, t, bin): equal-width bins of the dense rank of pt; the ranks number the distinct values."""
+    r = numbered(pt.select("pt").distinct(), [], [F.col("pt")], "r")
+    top = r.agg(F.count("*").alias("top"))
     r = r.crossJoin(F.broadcast(top)).select("pt", "r", F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("r") - 1) * F.lit(float(breaks)), F.col("top") - 1))).alias("bin"))
     return pt.join(r, "pt").select("id", F.col("r").alias("t"), "bin")
 

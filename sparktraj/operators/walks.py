@@ -172,7 +172,7 @@ def similar_kmers(km: DataFrame, edges: DataFrame) -> DataFrame:
     return ok.where(F.col("n") == F.size("a")).select("a", "b")
 
 
-def kmer_graph(km: DataFrame, edges: DataFrame, unique) -> DataFrame:
+def kmer_graph(km: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, n): transitions between consecutive k-mers of walks, each replaced by the smallest k-mer similar to it."""
     near = similar_kmers(km, edges)
     names = near.groupBy(F.col("b").alias("kmer")).agg(F.min("a").alias("node"))
@@ -266,6 +266,11 @@ def consensus(paths: DataFrame, classes: DataFrame, dim: int, n: int = 100) -> D
     return avg_vector(smooth(paths, dim, n=n).join(classes, "walk_id"), ["class", "step"], dim)
 
 
+def pathways(walks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Walks beside their class (walk_id, class)."""
+    return walks.join(classes.select("walk_id", "class"), "walk_id").select("class", "walk_id", "step", "v")
+
+
 def index_edges(walks: DataFrame, simplices: DataFrame) -> DataFrame:
     """(walk_id, step, sidx): the edge simplex (sidx, verts) of every step that has one."""
     e = simplices.where(F.size("verts") == 2).select("sidx", F.col("verts")[0].alias("a"), F.col("verts")[1].alias("b"))
