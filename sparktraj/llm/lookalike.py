@@ -26,6 +26,8 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυϳϲχ"
 GREEK_AS = "ABEZHIKMNOPTYXayiĸvopujcx"
 ARMENIAN = "ՕՍԼոօսհց"
 ARMENIAN_AS = "OULnouhg"
+#: Hyphens that look like the hyphen-minus (longer dashes don't).
+HYPHENS = (0x2010, 0x2011, 0x2043, 0x2D7, 0xFE63)
 #: Default-ignorable code points (ranges of the Unicode property) and interlinear marks.
 IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 FORMS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -45,6 +47,7 @@ def replacements() -> dict[int, str]:
         if kind == "Zs":
             table[c] = " "
     table |= alike | {c: "" for c in range(32)} | {0x7F: "", 9: " ", 0x2800: " "}
+    table |= dict.fromkeys(HYPHENS, "-")
     table |= dict.fromkeys((10, 11, 12, 13, 0x85, 0x2028, 0x2029), "\n")
     return table | {c: "" for a, b in IGNORABLE for c in range(a, min(b, 0xE01FF) + 1)}
 
