@@ -36,7 +36,7 @@ OTHER = ["Resume of a fine fish: 10 cm", "résumé of a fine fish: 10 cm", "Rés
 
 
 def test_alike(spark):
-    texts = SAME + OTHER + [None, "", " ​", " ", SAME[0], "Ёлка", "Ёлка"]
+    texts = SAME + OTHER + [None, "", " ​", " ", SAME[0], "Ёлка", "Ёлка", "2024-01-02", "2024\u201101\u201002", "2024\u201301\u201302"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, look int").repartition(2)
     got = {(r["doc_id_a"], r["doc_id_b"]) for r in lookalike.alike_pairs(docs).collect()}
     group = [*range(len(SAME)), texts.index(SAME[0], 1)]
