@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 
 def database(d: str) -> duckdb.DuckDBPyConnection:
@@ -20,7 +21,7 @@ def canonical(df):
     df = df[sorted(df.columns)]
 
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
             return "null"
         if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
             return str(bool(v))
