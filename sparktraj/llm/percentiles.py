@@ -222,9 +222,10 @@ def current_labels(labels: DataFrame) -> DataFrame:
 
 
 def p4_percentiles(spark, d: str) -> DataFrame:
-    """(kind, name, label, channel, n, p, value): of every path model, and of every label and channel over usable points."""
+    """(kind, name, label, channel, n, p, value): of every path model (label empty, channel -1), and of every label and channel over
+    usable points."""
     times = current_pseudotime(spark.read.parquet(f"{d}/pseudotime.parquet")).select(F.col("origin_name").alias("key"), F.array("res").alias("vals"))
-    one = exact(times).select(F.lit("pseudotime").alias("kind"), F.col("key").alias("name"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("channel"), "n", "p", "value")
+    one = exact(times).select(F.lit("pseudotime").alias("kind"), F.col("key").alias("name"), F.lit("").alias("label"), F.lit(-1).alias("channel"), "n", "p", "value")
     points = current_points(spark.read.parquet(f"{d}/points.parquet")).where(is_usable()).select("id", "x")
     labelled = current_labels(spark.read.parquet(f"{d}/point_labels.parquet")).join(points, "id").select(F.to_json(F.struct("labels_name", "label")).alias("key"), F.col("x").alias("vals"))
     two = exact(materialize(labelled, "labelled"), DIM).withColumn("k", F.from_json("key", "labels_name string, label string"))
@@ -246,7 +247,7 @@ l as (select id, labels_name, lower(trim(label)) as label from (select *, row_nu
   from point_labels where id is not null and labels_name is not null) where rn = 1 and label is not null),
 t as (select origin_name, res from (select *, row_number() over (partition by origin_name, id order by computed_at desc nulls last, arrived_at desc nulls last) rn
   from pseudotime where id is not null) where rn = 1 and res is not null and isfinite(res) and res not in (-1, -100)),
-v as (select 'pseudotime' as kind, origin_name as name, null::varchar as label, null::int as channel, res as v from t
+v as (select 'pseudotime' as kind, origin_name as name, '' as label, -1 as channel, res as v from t
   union all select 'label', labels_name, label, (c - 1)::int, x[c] from (select l.labels_name, l.label, p.x, unnest(range(1, 26)) as c from l join p using (id))),
 q as (select kind, name, label, channel, count(*) as n, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) as qs from v group by all)
 select kind, name, label, channel, n, unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as p, round(unnest(qs), 9) as value from q

@@ -1,7 +1,7 @@
 """The training-data queries pN_ and, where SQL can express them, the SQL they are compared with."""
 from __future__ import annotations
 
-from . import clusters, knn, lookalike, mixing, percentiles, quotas, runs, subset, tokens
+from . import clusters, knn, lookalike, mixing, oracles, percentiles, quotas, runs, subset, tokens
 
 
 def queries() -> dict:
@@ -29,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_percentiles": percentiles.P4_SQL, "p5_found": quotas.P5_SQL}
+    return dict(oracles.SQL)
