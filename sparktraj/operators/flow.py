@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..functions.scalars import with_scalars
 from .vectors import avg_vector
 from .walks import pairs
 
@@ -39,14 +40,14 @@ def flow_edges(counts: DataFrame, scale: str = "max", qq: float = 0.0, hard_term
     kept = major(counts, hard_terminus)
     bal = balance(counts)
     if scale == "max":
-        e = kept.crossJoin(F.broadcast(kept.agg(F.max("n").alias("s"))))  # one row
+        e = with_scalars(kept, kept.agg(F.max("n").alias("s")))
     elif scale == "adaptive":
         e = kept.join(bal.select(F.col("mc").alias("a"), F.greatest("ins", "outs").alias("s")), "a")
     else:
-        e = kept.crossJoin(F.broadcast(bal.agg(F.avg((F.col("ins") + F.col("outs")) / 2).alias("s"))))
+        e = with_scalars(kept, bal.agg(F.avg((F.col("ins") + F.col("outs")) / 2).alias("s")))
     e = e.select("a", "b", "n", (F.col("n") / F.col("s")).alias("weight"))
     q = exact_quantiles(e, [], "weight", [qq]).select("q")
-    e = e.crossJoin(F.broadcast(q)).withColumn("arrow", F.col("weight") >= F.col("q"))
+    e = with_scalars(e, q).withColumn("arrow", F.col("weight") >= F.col("q"))
     return e.select("a", "b", "n", "weight", (F.pow("weight", F.lit(1.2)) * 19 + F.when(F.col("weight") > F.col("q"), 7).otherwise(0)).alias("width"), "arrow")
 
 

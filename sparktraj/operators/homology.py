@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .complexes import MAX_LANDMARKS
+from ..functions.scalars import with_scalars
 from .walks import pairs
 
 #: Simplices up to which a complex is reduced.
@@ -70,7 +70,7 @@ def with_essential(finite: DataFrame, infinite: DataFrame, ratio: bool = False)
     deaths at 1.5 times the largest ratio to their birth."""
     top = finite.agg(F.max("death").alias("top"), F.max(F.when(F.col("birth") > 0, F.col("death") / F.col("birth"))).alias("r"))
     n = F.row_number().over(Window.orderBy("birth", "sidx"))  # few classes
-    e = infinite.crossJoin(F.broadcast(top)).withColumn("n", n)
+    e = with_scalars(infinite, top).withColumn("n", n)
     death = F.when(F.lit(ratio) & (F.col("birth") > 0), F.col("birth") * F.coalesce("r", F.lit(1.0)) * 1.5).otherwise(F.coalesce("top", F.lit(1.0)) * (1 + 0.01 * F.col("n")))
     rows = e.select("dim", F.col("sidx").alias("birth_idx"), F.lit(None).cast("int").alias("death_idx"), "birth", F.greatest(death, F.col("birth")).alias("death"))
     return finite.unionByName(rows)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashrand import uniform
 from ..functions.ordered import numbered, running_sum
 from ..functions.quantiles import exact_quantiles
+from ..functions.scalars import with_scalars
 from ..sources.shared import written
 from .sparse import sparse_times_vectors
 from .vectors import avg_vector, explode_dims, matrix, squared_distance
@@ -69,7 +70,7 @@ def core_points(lists: DataFrame, perc: float = 0.8) -> DataFrame:
     """(id): points whose density 1 / (distance to the last neighbour) lies above the perc-quantile."""
     last = lists.groupBy("src").agg((1 / F.max("dist")).alias("dens"))
     q = exact_quantiles(last, [], "dens", [perc]).select("q")
-    return last.crossJoin(F.broadcast(q)).where("dens > q").select(F.col("src").alias("id"))  # one row
+    return with_scalars(last, q).where("dens > q").select(F.col("src").alias("id"))
 
 
 def densities(lists: DataFrame, k: int, d: float = 2.0) -> DataFrame:
@@ -77,7 +78,7 @@ def densities(lists: DataFrame, k: int, d: float = 2.0) -> DataFrame:
     at = lists.where(F.col("rnk") == k)
     v = math.pi ** (d / 2) / math.gamma(d / 2 + 1)
     n = at.agg(F.count("*").alias("n"))
-    return at.crossJoin(F.broadcast(n)).select(F.col("src").alias("id"), (k / (F.col("n") * v) / F.pow("dist", d)).alias("dens"))
+    return with_scalars(at, n).select(F.col("src").alias("id"), (k / (F.col("n") * v) / F.pow("dist", d)).alias("dens"))
 
 
 def down_sample(lists: DataFrame, n_keep: int, k: int = 10, d: float = 2.0, seed: int = 7) -> DataFrame:
@@ -90,8 +91,8 @@ def down_sample(lists: DataFrame, n_keep: int, k: int = 10, d: float = 2.0, seed
     cdf = cdf.withColumn("target", n_keep / F.col("cdf"))
     whole = cdf.agg((n_keep / F.max("cdf")).alias("all"), F.min("dens").alias("least"))
     first = cdf.where("target <= dens").agg(F.min_by("target", "dens").alias("b"))
-    bound = whole.crossJoin(first).select(F.when(F.col("all") > F.col("least"), F.coalesce("b", "all")).otherwise(F.col("all")).alias("boundary"))
-    return dens.crossJoin(F.broadcast(bound)).where(F.col("boundary") / F.col("dens") > uniform(seed, "id")).select("id")
+    bound = with_scalars(whole, first).select(F.when(F.col("all") > F.col("least"), F.coalesce("b", "all")).otherwise(F.col("all")).alias("boundary"))
+    return with_scalars(dens, bound).where(F.col("boundary") / F.col("dens") > uniform(seed, "id")).select("id")
 
 
 def weighted_sample(weights: DataFrame, n: int, seed: int = 7) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
 from ..functions.quantiles import exact_quantiles
+from ..functions.scalars import with_scalars
 from ..sources.shared import written
 
 #: kernel -> (statistic, weight from distance d and statistic s). Global statistics: of all distances; row: of a source's list.
@@ -46,9 +47,9 @@ def kernel(edges: DataFrame, name: str = "semer", epsilon: float | None = None,
     elif stat == "row_median":
         edges = edges.withColumn("s", F.percentile("w", 0.5).over(w))
     elif stat == "max":
-        edges = edges.crossJoin(F.broadcast(edges.agg(F.max("w").alias("s"))))  # one row
+        edges = with_scalars(edges, edges.agg(F.max("w").alias("s")))
     else:
-        edges = edges.crossJoin(F.broadcast(exact_quantiles(edges, [], "w", [0.5]).select(F.col("q").alias("s"))))  # one row
+        edges = with_scalars(edges, exact_quantiles(edges, [], "w", [0.5]).select(F.col("q").alias("s")))
     out = F.when(F.col("s") > 0, f(F.col("w"), F.when(F.col("s") > 0, F.col("s")))).otherwise(F.when(F.col("w") == 0, 1.0).otherwise(0.0))
     return edges.select("src", "dst", out.alias("w"))
 
@@ -101,7 +102,7 @@ def rank_bins(pt: DataFrame, breaks: int) -> DataFrame:
     """(id, t, bin): equal-width bins of the dense rank of pt; the ranks number the distinct values."""
     r = numbered(pt.select("pt").distinct(), [], [F.col("pt")], "r")
     top = r.agg(F.count("*").alias("top"))
-    r = r.crossJoin(F.broadcast(top)).select("pt", "r", F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("r") - 1) * F.lit(float(breaks)), F.col("top") - 1))).alias("bin"))
+    r = with_scalars(r, top).select("pt", "r", F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("r") - 1) * F.lit(float(breaks)), F.col("top") - 1))).alias("bin"))
     return pt.join(r, "pt").select("id", F.col("r").alias("t"), "bin")
 
 

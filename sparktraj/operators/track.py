@@ -5,11 +5,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..functions.scalars import with_scalars
 
 
 def scaled(times: DataFrame) -> DataFrame:
     """pt over its maximum."""
-    return times.crossJoin(F.broadcast(times.agg(F.max("pt").alias("m")))).select("id", F.try_divide("pt", "m").alias("pt"))  # one row
+    return with_scalars(times, times.agg(F.max("pt").alias("m"))).select("id", F.try_divide("pt", "m").alias("pt"))
 
 
 def breaks_of(times: DataFrame, parts: int, power: float = 1.0, how: str = "quantile", given: list[float] | None = None) -> list[float]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..operators import knn as N
 from ..operators import points as P
 from ..operators import solve as L
@@ -119,7 +120,7 @@ def origin_distance(s, d):
     first = e.agg(F.min_by("x", "id").alias("o"))
     from ..operators.vectors import distance
 
-    return e.crossJoin(F.broadcast(first)).select("id", F.round(distance("x", "o"), 3).alias("pt"))  # one row
+    return with_scalars(e, first).select("id", F.round(distance("x", "o"), 3).alias("pt"))
 
 
 def oriented(s, d, breaks=100, base=1.5):

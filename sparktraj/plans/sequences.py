@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashrand import uniform_sql
+from ..functions.scalars import with_scalars
 from ..operators import flow as C
 from ..operators import knn as N
 from ..operators import track as V
@@ -81,7 +82,7 @@ def most_frequent_end(w):
 def gridded(s, d):
     e, pt = t.embedding_cloud(s, d), origin_distance(s, d)
     top = pt.agg(F.max("pt").alias("m"))
-    pt = pt.crossJoin(F.broadcast(top)).select("id", (F.col("pt") / F.col("m")).alias("pt"))
+    pt = with_scalars(pt, top).select("id", (F.col("pt") / F.col("m")).alias("pt"))
     return written(W.on_grid(simulated(s, d)[0], e.select("id", F.slice("x", 1, 3).alias("x")), pt, 21), "grid")
 
 

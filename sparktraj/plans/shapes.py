@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..operators import cluster as C
 from ..operators import complexes as X
 from ..operators import homology as G
@@ -215,7 +216,7 @@ def _bounded(s, d):
 
 def _betti(s, d):
     _, f, _, red = _reduction(s, d)
-    return f.where("dim = 0").agg(F.count("*").alias("v")).crossJoin(red.where("dim = 0").agg(F.count("*").alias("k"))).select((F.col("v") - F.col("k")).alias("betti_0"))  # one row each
+    return f.where("dim = 0").agg(F.count("*").alias("v")).transform(lambda t: with_scalars(t, red.where("dim = 0").agg(F.count("*").alias("k")))).select((F.col("v") - F.col("k")).alias("betti_0"))
 
 
 def _euler(s, d):
@@ -285,7 +286,7 @@ def _scan(s, d):
 
     m = landmarks(s, d)
     first = m.agg(F.min_by("x", "id").alias("o"))
-    times = m.crossJoin(F.broadcast(first)).select("id", F.sqrt(squared_distance("x", "o")).alias("pt"))  # landmarks
+    times = with_scalars(m, first).select("id", F.sqrt(squared_distance("x", "o")).alias("pt"))
     out = None
     for n, q in enumerate(times.agg(F.percentile("pt", [0.0, 0.5])).first()[0]):
         part = X.time_slices(m, times, [q])[q]

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashrand import uniform
+from ..functions.scalars import with_scalars
 
 UNSELECTED, UNPINNED = -100.0, -1.0
 
@@ -27,7 +28,7 @@ def construct(points: DataFrame, labels: DataFrame | None = None, dim: int | Non
 def summary(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(labels_name, n, levels): rows and distinct labels of every label set."""
     n = points.agg(F.count("*").alias("n"))
-    return labels.groupBy("labels_name").agg(F.count_distinct("label").alias("levels")).crossJoin(F.broadcast(n)).select("labels_name", "n", "levels")  # one row
+    return labels.groupBy("labels_name").agg(F.count_distinct("label").alias("levels")).transform(lambda t: with_scalars(t, n)).select("labels_name", "n", "levels")
 
 
 def gate_labels(gates: DataFrame, events: str, labels: str, origin: str) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +134,7 @@ def handle(points: DataFrame, a: int, b: int, step: float = 0.1, height: float =
     ends = points.where(F.col("id").isin(a, b)).groupBy().agg(F.max(F.when(F.col("id") == a, F.col("x"))).alias("p"), F.max(F.when(F.col("id") == b, F.col("x"))).alias("q"))
     top = points.agg(F.max("id").alias("top"))
     n = int(round(1 / step))
-    k = ends.crossJoin(top).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))  # one row each
+    k = with_scalars(ends, top).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
     f = F.col("k") / n
     line = F.zip_with("p", "q", lambda u, v: u + (v - u) * F.col("f"))
     new = k.withColumn("f", f).select((F.col("top") + F.col("k")).alias("id"), F.concat(line, F.array(F.lit(float(height)) * F.least(F.lit(1.0), F.least("f", 1 - F.col("f")) * 2))).alias("x"))
