@@ -83,12 +83,12 @@ def mix(targets: DataFrame, docs: DataFrame, seed: int = 23, vocabulary: str = V
         open_ = rows.where("bin is not null").join(small_side(budget)[0], ["mix_name", "source"]).where("n_tokens <= budget")
         bins = open_.groupBy("mix_name", "source", "bin").agg(F.sum("n_tokens").alias("t"), F.first("budget").alias("budget"))
         upto = F.sum("t").over(Window.partitionBy("mix_name", "source").orderBy("bin"))
-        edge = bins.withColumn("upto", upto).where("upto - t < budget")
-        edge = edge.select("mix_name", "source", "bin", (F.col("budget") - F.col("upto") + F.col("t")).alias("left"), (F.col("upto") <= F.col("budget")).alias("all"))
-        open_ = open_.join(small_side(edge)[0], ["mix_name", "source", "bin"])
-        running = F.sum("n_tokens").over(Window.partitionBy("mix_name", "source", "bin").orderBy("order", "doc_id"))
-        cut = open_.where("not all").withColumn("sum", running).where("sum <= left")
-        won = materialize(open_.where("all").select(*KEEP).unionByName(cut.select(*KEEP)), "won")
+        over = F.when(F.col("upto") > F.col("budget"), F.col("bin"))
+        edge = bins.withColumn("upto", upto).groupBy("mix_name", "source").agg(F.min(over).alias("cut"), F.min_by(F.col("budget") - F.col("upto") + F.col("t"), over).alias("left"))
+        open_ = open_.join(small_side(edge)[0], ["mix_name", "source"]).where("cut is null or bin <= cut")  # one row per source of a mix
+        running = F.sum("n_tokens").over(Window.partitionBy("mix_name", "source").orderBy("order", "doc_id"))
+        cut = open_.where("bin = cut").withColumn("sum", running).where("sum <= left")
+        won = materialize(open_.where("cut is null or bin < cut").select(*KEEP).unionByName(cut.select(*KEEP)), "won")
         copies.append(won.select(*KEEP, F.lit(1).cast("long").alias("copies")))
         spent = won.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("spent"))
         budget = budget.join(spent, ["mix_name", "source"], "left").select("mix_name", "source", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"))
