@@ -154,3 +154,35 @@ def test_a_third_of_the_rows_equal(spark):
     got = knn.near_lists(df, 0.4, 5)
     assert got.where("src < 2000").count() == 10_000
     assert clusters.linked_groups(df, 0.4).where("id < 2000").agg(F.count("*"), F.max("cluster_key")).first()[:] == (2000, 0)
+
+
+def latent(n, seed=8):
+    """n rows whose 25 channels follow one latent dimension."""
+    u = np.random.default_rng(seed).uniform(-1, 1, size=(n, 1))
+    return u @ np.linspace(0.5, 1.5, 25)[None]
+
+
+def as_points(spark, x):
+    return spark.createDataFrame([(int(i), r) for i, r in enumerate(x.tolist())], "id long, x array<double>")
+
+
+def test_varied_subset_goes_on_when_residuals_run_out(spark):
+    x = latent(600)
+    got = [r["id"] for r in subset.varied_subset(as_points(spark, x), 150).orderBy("pick").collect()]
+    assert len(got) == len(set(got)) == 150
+
+
+def test_varied_subset_takes_all_distinct_rows_before_it_ends(spark):
+    x = np.r_[latent(40), latent(40)[:20], latent(10) + 1e-5, latent(1) + 1e3, [vec(float("inf"))]]
+    got = [r["id"] for r in subset.varied_subset(as_points(spark, x), 100).collect()]
+    assert len({tuple(x[i]) for i in got}) == len(got) == len({tuple(r) for r in x})
+
+
+def test_spread_width_is_not_widened_by_far_rows(spark):
+    x = np.random.default_rng(3).normal(size=(2000, 25))
+    mad = np.median(np.abs(x - np.median(x, 0)), 0)
+    far = x.copy()
+    far[:10] = 1e3
+    for rows in (x, far):
+        width = subset.spread_width(subset._packed(as_points(spark, rows), 25), 25)
+        assert width == pytest.approx(0.5 * np.sqrt((mad**2).sum()), rel=0.05)
