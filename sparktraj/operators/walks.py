@@ -278,11 +278,12 @@ def index_edges(walks: DataFrame, simplices: DataFrame) -> DataFrame:
     return p.join(e, ["a", "b"]).select("walk_id", "step", "sidx")
 
 
-def reachability(edges: DataFrame, waypoints: DataFrame, most: int = 50) -> DataFrame:
-    """(src, dst): waypoints (id) that can be reached from each other along edges; frontiers of (start, vertex), written each round."""
+def reachability(edges: DataFrame, waypoints: DataFrame) -> DataFrame:
+    """(src, dst): waypoints (id) that can be reached from each other along edges; frontiers of (start, vertex), written each round
+    until there is none."""
     e = written(edges.select("src", "dst").distinct(), "edges")
     seen = front = written(waypoints.select(F.col("id").alias("start"), F.col("id").alias("src")), "seen")
-    for _ in range(most):
+    while True:
         front = written(front.join(e, "src").select("start", F.col("dst").alias("src")).distinct().join(seen, ["start", "src"], "left_anti"), "front")
         if front.isEmpty():
             break

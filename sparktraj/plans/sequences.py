@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import uniform_sql
+from ..functions.hashrand import uniform, uniform_sql
 from ..functions.scalars import with_scalars
 from ..operators import flow as C
 from ..operators import knn as N
@@ -43,6 +43,8 @@ def neighbour_edges(s, d):
 EDGES = "kne as (select src, dst, min(dist) as w from knn where src <> dst and dist is not null group by all)"
 WK = t.with_(t.WALKS)
 N_WALKS = 30
+#: Waypoints sampled over the graph, the origin included.
+WAYPOINTS = 500
 
 
 def start(s, d):
@@ -53,6 +55,11 @@ def simulated(s, d, **options):
     return W.simulate(written(oriented(s, d), "oriented"), start(s, d), N_WALKS, 1, **options)
 
 
+def sampled_waypoints(s, d):
+    """The origin and a uniform sample of the other vertices."""
+    return t.embedding_cloud(s, d).select("id").orderBy(F.col("id") != start(s, d), uniform(5, "id"), "id").limit(WAYPOINTS)
+
+
 def first_fate(e):
     return W.fates(e).orderBy("id").limit(1)
 
@@ -100,6 +107,7 @@ QUERIES = {
     "fates": lambda s, d: W.fates(oriented(s, d)),
     "ancestors": lambda s, d: _ancestors(s, d),
     "reachability": lambda s, d: _reachability(s, d),
+    "reachability_sampled": lambda s, d: W.reachability(written(oriented(s, d), "oriented"), written(sampled_waypoints(s, d), "ways")),
     "contract_walks": lambda s, d: long(W.contract(steps(s, d), t.clusters(s, d)), "step"),
     "contract_acyclic": lambda s, d: long(W.remove_cycles(written(W.contract(steps(s, d), t.clusters(s, d)), "contracted")), "step"),
     "remove_cycles": lambda s, d: long(W.remove_cycles(steps(s, d)), "step"),
@@ -133,6 +141,7 @@ SQL = {
     "fates": FATES + " select id from fat",
     "ancestors": FATES + ", anc as (select min(id) as id from fat union select src from anc join ori on ori.dst = anc.id) select id from anc",
     "reachability": FATES + ", way as (select id from bn where t <= 20 or id in (select id from fat)), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select s as src, v as dst from rch where v in (select id from way) and s <> v",
+    "reachability_sampled": ORIENTED + f", way as (select id from emb order by id <> (select min(id) from emb), {uniform_sql(5, 'id')}, id limit {WAYPOINTS}), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select s as src, v as dst from rch where v in (select id from way) and s <> v",
     "contract_walks": t.with_(t.WALKS, t.CLUSTERS, CONTRACT) + " select * from ctr",
     "contract_acyclic": t.with_(t.WALKS, t.CLUSTERS, CONTRACT, ACYCLIC.format(src="ctr")) + " select * from acy",
     "remove_cycles": t.with_(t.WALKS, "wl as (select walk_id, step, v from wlk)", ACYCLIC.format(src="wl")) + " select * from acy",

@@ -180,3 +180,9 @@ def test_session(spark):
     t.classify_walks().count()
     assert t.copy().origin == t.origin
     assert t.down_sample(50).points.count() < 200
+
+
+def test_reachability_goes_on_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)] + [(60, 58, 1.0)], "src long, dst long, w double")
+    got = walks.reachability(edges, spark.createDataFrame([(0,), (59,), (60,)], "id long"))
+    assert {(r["src"], r["dst"]) for r in got.collect()} == {(0, 59), (0, 60), (59, 60), (60, 59)}
