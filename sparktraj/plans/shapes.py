@@ -1,4 +1,7 @@
-"""Queries of clustering, simplicial complexes and homology, over the first three dimensions of all embeddings."""
+"""Queries of clustering, simplicial complexes and homology, over the first three dimensions of all embeddings.
+
+The queries named ``_whole`` take all dimensions, every SHARE-th id as landmark and the lists and alpha of the reference.
+"""
 from __future__ import annotations
 
 import numpy as np
@@ -19,6 +22,8 @@ from .graphs import KG, SYM, r
 from .sequences import N_WALKS, oriented, simulated
 
 LANDMARKS, KW, ALPHA, REACH = 16, 8, 0.02, 0.16
+#: Of the whole complexes: a landmark in so many ids, and landmarks in a list.
+SHARE, KWHOLE = 10, 30
 
 
 def cloud3(s, d):
@@ -38,10 +43,22 @@ def lists(s, d, marks):
     return written(N.reorder(both).where(F.col("rnk") <= KW), "lists")
 
 
-def pair_distances(marks):
-    from ..operators.vectors import distance
+def whole(s, d):
+    """Landmarks and lists in all dimensions, and alpha, the mean distance to the last landmark of a list."""
+    p = t.embedding_cloud(s, d).select("id", "x")
+    marks = written(p.where(F.col("id") % SHARE == 0), "landmarks")
+    own = marks.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("rnk"), F.lit(0.0).alias("dist"))
+    n = written(N.reorder(N.nearest(p, marks, KWHOLE).unionByName(own)).where(F.col("rnk") <= KWHOLE), "lists")
+    alpha = n.groupBy("src").agg(F.max("dist").alias("m")).agg(F.round(F.avg("m"), 6)).first()[0]
+    return marks, n, alpha
+
+
+def whole_rips(s, d):
+    m, _, alpha = whole(s, d)
+    return X.rips(pair_distances(m, m.count() - 1), alpha)
 
-    n = LANDMARKS - 1
+
+def pair_distances(marks, n=LANDMARKS - 1):
     return N.knn(marks, n).select("src", "dst", F.col("dist").alias("w"))
 
 
@@ -110,6 +127,12 @@ QUERIES = {
     "louvain_partition": lambda s, d: _louvain(s, d),
     "clique_communities": lambda s, d: C.clique_communities(M.symmetrize(M.distances(emb_knn(s, d, 4))).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), 3).select("least", "size", "id"),
     "index_path_edges": lambda s, d: _indexed(s, d),
+    "nearest_landmark_whole": lambda s, d: whole(s, d)[1].where("rnk = 1").select(F.col("src").alias("id"), F.col("dst").alias("landmark")),
+    "witness_vertices_whole": lambda s, d: (lambda m, n, a: X.witness_vertices(n, a))(*whole(s, d)),
+    "witness_edges_whole": lambda s, d: (lambda m, n, a: X.witness_edges(n, a))(*whole(s, d)),
+    "witness_triangles_whole": lambda s, d: (lambda m, n, a: X.triangles(written(X.witness_edges(n, a), "edges")))(*whole(s, d)),
+    "strong_witness_edges_whole": lambda s, d: (lambda m, n, a: r(X.strong_witness_edges(n, a), "value"))(*whole(s, d)),
+    "rips_complex_whole": lambda s, d: r(verts(whole_rips(s, d)), "value"),
 }
 SQL = {
     "nearest_landmark": BASE + "n as (select p.id, l.id as landmark, row_number() over (partition by p.id order by list_distance(p.x, l.x), l.id) as r from e3 p, lm l) select id, landmark from n where r = 1",
@@ -141,6 +164,23 @@ fc as (select q, a as u, b as v from q3 union all select q, a, c from q3 union a
 rt as (select q, min(r) as r from rc group by q), mm as (select distinct r, unnest([a, b, c]) as id from q3 join rt using (q)) select min(id) over (partition by r) as least, count(*) over (partition by r) as size, id from mm""",
 }
 SQL["filtration_union"] = BASE + RIPS[len(BASE):] + ", " + WIT[len(BASE):] + ", al as (select id::varchar as verts from lm union select a || ',' || b from re union select a || ',' || b || ',' || c from rt union select v::varchar from vt union select a || ',' || b from ed union select a || ',' || b || ',' || c from tr) select verts from al"
+WHOLE = t.with_(t.EMB) + f""", lm as (select id, x from emb where id % {SHARE} = 0),
+wl as (select * from (select p.id as w, l.id as l, list_distance(p.x, l.x) as dist, row_number() over (partition by p.id order by list_distance(p.x, l.x), l.id) as rnk from emb p, lm l) where rnk <= {KWHOLE}),
+al as (select round(avg(m), 6) as al from (select max(dist) as m from wl group by w)),
+wd as (select *, min(dist) over (partition by w) as d1, min(case when rnk = 2 then dist end) over (partition by w) as d2 from wl),
+vt as (select distinct l as v from wd, al where dist <= d1 + al),
+pe as (select a.l as la, b.l as lb, b.dist as db, a.d1, a.d2, a.rnk as ra, b.rnk as rb, al from wd a join wd b on a.w = b.w and a.rnk < b.rnk cross join al),
+ed as (select distinct least(la, lb) as a, greatest(la, lb) as b from pe where db <= case when ra = 1 and rb = 2 then db when ra = 1 then d2 else d1 end + al and la in (select v from vt) and lb in (select v from vt)),
+re as (select a.id as a, b.id as b, list_distance(a.x, b.x) as w from lm a join lm b on a.id < b.id, al where list_distance(a.x, b.x) <= al)"""
+CLIQUES = "select x.a, x.b, y.b as c from ed x join ed y on y.a = x.a and x.b < y.b join ed z on z.a = x.b and z.b = y.b"
+SQL |= {
+    "nearest_landmark_whole": WHOLE + " select w as id, l as landmark from wl where rnk = 1",
+    "witness_vertices_whole": WHOLE + " select v from vt",
+    "witness_edges_whole": WHOLE + " select a, b from ed",
+    "witness_triangles_whole": WHOLE + " " + CLIQUES,
+    "strong_witness_edges_whole": WHOLE + " select least(la, lb) as a, greatest(la, lb) as b, round(min(db - d1), 6) as value from pe where db < d1 + al group by 1, 2",
+    "rips_complex_whole": WHOLE + " select id::varchar as verts, 0.0 as value from lm union all select a || ',' || b, round(w, 6) from re union all select x.a || ',' || x.b || ',' || y.b, round(greatest(x.w, y.w, z.w), 6) from re x join re y on y.a = x.a and x.b < y.b join re z on z.a = x.b and z.b = y.b",
+}
 SQL["betti_0"] = WIT + ", cc as (select v, v as r from vt union select case when cc.v = ed.a then ed.b else ed.a end, cc.r from cc join ed on cc.v in (ed.a, ed.b)) select count(distinct r) as betti_0 from (select v, min(r) as r from cc group by v)"
 
 

@@ -186,3 +186,11 @@ def test_reachability_goes_on_until_nothing_is_new(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)] + [(60, 58, 1.0)], "src long, dst long, w double")
     got = walks.reachability(edges, spark.createDataFrame([(0,), (59,), (60,)], "id long"))
     assert {(r["src"], r["dst"]) for r in got.collect()} == {(0, 59), (0, 60), (59, 60), (60, 59)}
+
+
+def test_whole_complexes_follow_the_data_in_all_dimensions(spark):
+    from sparktraj.plans import shapes
+
+    marks, lists, alpha = shapes.whole(spark, "/root/testdata/sf0.001")
+    assert {len(r["x"]) for r in marks.collect()} == {64} and marks.count() == 50
+    assert {r["n"] for r in lists.groupBy("src").agg(F.count("*").alias("n")).collect()} == {30} and alpha > 0
