@@ -157,8 +157,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int
 
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids): each id joins the table of pieces (fixed size, 50,256 rows) by its number. Null ids
-    give null; bytes that aren't UTF-8 become U+FFFD."""
+    """(doc_id, text) of (doc_id, ids): each id is looked up by its number in the table of pieces (fixed size, 50,256 rows),
+    which every task reads, instead of a join; an id beyond it raises IndexError. Null ids give null; bytes that aren't UTF-8 become U+FFFD."""
 
     def run(batches):
         cells = None
