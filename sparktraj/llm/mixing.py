@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_side
 from .tokens import VOCABULARY, token_counts
 
-#: Bins per unit of the drawing order, and rounds of filling.
-BINS, ROUNDS = 1024, 3
+#: Bins per unit of the drawing order.
+BINS = 1024
 KEEP = ["mix_name", "doc_id", "source", "n_tokens"]
 
 
@@ -78,9 +78,12 @@ def mix(targets: DataFrame, docs: DataFrame, seed: int = 23, vocabulary: str = V
     used = rows.groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("whole_tokens"))
     budget = plans.join(have, "source").join(used, ["mix_name", "source"]).select("mix_name", "source", (F.least(F.col("target"), F.col("available") * F.col("max_repeats")) - F.col("whole_tokens")).alias("budget"))
     copies = [rows.where("whole > 0").select(*KEEP, F.col("whole").alias("copies"))]
-    for _ in range(ROUNDS):
-        # documents larger than what is left are passed over; the next round fills what the cut left open
-        open_ = rows.where("bin is not null").join(small_side(budget)[0], ["mix_name", "source"]).where("n_tokens <= budget")
+    rows = rows.where("bin is not null")
+    while True:
+        # documents larger than what is left are passed over, for good as it only shrinks; the next round fills what the cut left open
+        left, _ = small_side(budget)
+        rows = materialize(rows.join(left, ["mix_name", "source"]).where("n_tokens <= budget"), "rows")
+        open_ = rows
         bins = open_.groupBy("mix_name", "source", "bin").agg(F.sum("n_tokens").alias("t"), F.first("budget").alias("budget"))
         upto = F.sum("t").over(Window.partitionBy("mix_name", "source").orderBy("bin"))
         over = F.when(F.col("upto") > F.col("budget"), F.col("bin"))
@@ -89,10 +92,12 @@ def mix(targets: DataFrame, docs: DataFrame, seed: int = 23, vocabulary: str = V
         running = F.sum("n_tokens").over(Window.partitionBy("mix_name", "source").orderBy("order", "doc_id"))
         cut = open_.where("bin = cut").withColumn("sum", running).where("sum <= left")
         won = materialize(open_.where("cut is null or bin < cut").select(*KEEP).unionByName(cut.select(*KEEP)), "won")
+        if won.isEmpty():
+            break
         copies.append(won.select(*KEEP, F.lit(1).cast("long").alias("copies")))
         spent = won.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("spent"))
-        budget = budget.join(spent, ["mix_name", "source"], "left").select("mix_name", "source", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"))
-        rows = materialize(rows.join(won.select("mix_name", "doc_id"), ["mix_name", "doc_id"], "left_anti"), "rows")
+        budget = left.join(spent, ["mix_name", "source"], "left").select("mix_name", "source", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"))
+        rows = rows.drop("budget").join(won.select("mix_name", "doc_id"), ["mix_name", "doc_id"], "left_anti")
     copies = functools.reduce(DataFrame.unionByName, copies).groupBy(*KEEP).agg(F.sum("copies").cast("int").alias("copies"))
     copies = materialize(copies, "copies")
     got = copies.groupBy("mix_name", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("actual_tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))

@@ -147,3 +147,14 @@ def test_segment_is_optimal():
         cost = lambda cut: sum(1.0 if i in cut else d[i] for i in range(1, n)) + 1.0
         best = min(cost({i for i in range(1, n) if m >> i & 1}) for m in range(0, 2**n, 2))
         assert starts[0] == 0 and cost(set(starts)) == pytest.approx(best)
+
+
+def test_mix_fills_until_nothing_fits(spark):
+    docs = [(i, "word " * 2 ** (i % 12), "one", "en", 1) for i in range(36)]
+    targets = [(f"m{k}", "one", 0.5, 1, 11_000) for k in range(60)]
+    copies, report = mixing.mix(spark.createDataFrame(targets, TARGETS), spark.createDataFrame(docs, DOCS))
+    taken, gaps = {}, {r["mix_name"]: r["gap_tokens"] for r in report.collect()}
+    for r in copies.collect():
+        taken.setdefault(r["mix_name"], set()).add(r["doc_id"])
+    sizes = {r["doc_id"]: r["n_tokens"] for r in mixing.token_counts(spark.createDataFrame(docs, DOCS)).collect()}
+    assert not [m for m in gaps if min(n for i, n in sizes.items() if i not in taken[m]) <= gaps[m]]
