@@ -4,9 +4,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from .complexes import cliques
 from .components import connected
 from .points import farthest_points
@@ -57,8 +58,8 @@ def kmeans(points: DataFrame, k: int, rounds: int | None = None, seeds: np.ndarr
 
 def given_clusters(points: DataFrame, clustering: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """A user's clustering (id, cluster) renumbered without gaps, and its codes (cluster, x)."""
-    used = clustering.where("cluster is not null").select("cluster").distinct().withColumn("c", F.row_number().over(Window.orderBy("cluster")))  # clusters
-    a = clustering.join(F.broadcast(used), "cluster").select("id", F.col("c").cast("long").alias("cluster"))
+    used = numbered(clustering.where("cluster is not null").select("cluster").distinct(), [], [F.col("cluster")], "c")
+    a = clustering.join(used, "cluster").select("id", F.col("c").cast("long").alias("cluster"))
     return a, avg_vector(points.join(a, "id"), ["cluster"], dim)
 
 
@@ -73,6 +74,62 @@ def grid_triangulation(spark, xdim: int, ydim: int, k: int = 10) -> DataFrame:
     return moved.join(u.select(F.col("u").alias("b"), "x", "y"), ["x", "y"]).where("a < b").select("a", "b")
 
 
+def grid_complex(codes: DataFrame, xdim: int, ydim: int, k: int = 10) -> DataFrame:
+    """The filtration of a grid's edges and triangles, valued as an alpha complex by the units' codes (cluster, x)."""
+    from .complexes import expand, skeleton
+
+    edges = grid_triangulation(codes.sparkSession, xdim, ydim, k)
+    marks = codes.select(F.col("cluster").alias("id"), "x")
+    return skeleton(expand(marks.select(F.col("id").alias("v")), edges), marks, 2)
+
+
+def clara(points: DataFrame, k: int, samples: int = 5, rows: int | None = None, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """Clusters around k medoids: each of a few bounded samples (40 + 2k rows by default) is solved by swaps, and the medoids with the
+    least total distance over all rows win. Returns (id, cluster) and the medoids."""
+    points, size = points.select("id", "x"), rows or 40 + 2 * k
+    best, least = np.empty((0, 1)), np.inf
+    for s in range(samples):
+        x = matrix(points.orderBy(F.xxhash64("id", F.lit(seed + s)), "id").limit(size).toArrow().column("x"))
+        if not len(x):
+            return assign(points, np.zeros((1, 1))).limit(0), best
+        d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+        med = [int(d.sum(1).argmin())]
+        while len(med) < min(k, len(x)):
+            gain = np.maximum(d[med].min(0)[None] - d, 0).sum(1)
+            gain[med] = -1
+            med.append(int(gain.argmax()))
+        while True:
+            now, swap = d[med].min(0).sum(), None
+            for i in range(len(med)):
+                rest = [m for j, m in enumerate(med) if j != i]
+                cost = np.minimum(d[rest].min(0)[None] if rest else np.inf, d).sum(1)
+                if cost.min() < now - 1e-9:
+                    now, swap = cost.min(), (i, int(cost.argmin()))
+            if swap is None:
+                break
+            med[swap[0]] = swap[1]
+        codes = x[med]
+
+        def total(batches, codes=codes):
+            for b in batches:
+                y = matrix(b.column(0))
+                d2 = (y**2).sum(1)[:, None] + (codes**2).sum(1)[None] - 2 * y @ codes.T
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.maximum(d2.min(1), 0)).sum())])], ["t"])
+
+        t = points.select("x").mapInArrow(total, "t double").agg(F.sum("t")).first()[0]
+        if t < least:
+            best, least = codes, t
+    return assign(points, best), best
+
+
+def cluster_labels(points: DataFrame, k: int, method: str = "CLARA") -> DataFrame:
+    """(id, label): clusters that stand in for labels where rows are to be drawn evenly, by CLARA or kmeans."""
+    if method not in ("CLARA", "kmeans"):
+        raise ValueError(f"unknown method {method}: CLARA or kmeans")
+    a = (clara if method == "CLARA" else kmeans)(points, k)[0]
+    return a.select("id", F.col("cluster").cast("string").alias("label"))
+
+
 def louvain(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, mc): communities of an undirected weighted edge table by greedy modularity, vertices in order of id, communities
     merged level by level and numbered by size. In memory, up to LOCAL_EDGES edges."""

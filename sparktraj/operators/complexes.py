@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from .vectors import matrix
 
 MAX_LANDMARKS = 20_000
@@ -53,6 +54,28 @@ def strong_witness_edges(lists: DataFrame, alpha: float) -> DataFrame:
     return e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.col("db") - F.col("d1")).alias("value"))
 
 
+def strong_witness(lists: DataFrame, alpha: float) -> DataFrame:
+    """(verts, value) of the strong witness complex to triangles: sets of landmarks that one witness has all nearer than alpha
+    beyond its nearest; value the least excess of the farthest over witnesses."""
+    d1 = F.min("dist").over(Window.partitionBy("src"))
+    near = lists.withColumn("over", F.col("dist") - d1).where(F.col("over") < alpha).select("src", F.col("dst").alias("v"), "over")
+    one = near.select(F.array("v").alias("verts"), F.col("over").alias("value"))
+    two = near.select("src", F.col("v").alias("a"), F.col("over").alias("oa")).join(near.select("src", F.col("v").alias("b"), F.col("over").alias("ob")), "src").where("a < b")
+    two = two.select("src", "a", "b", F.greatest("oa", "ob").alias("o"))
+    three = two.join(near.select("src", F.col("v").alias("c"), F.col("over").alias("oc")), "src").where("b < c")
+    rows = one.unionByName(two.select(F.array("a", "b").alias("verts"), F.col("o").alias("value"))).unionByName(three.select(F.array("a", "b", "c").alias("verts"), F.greatest("o", "oc").alias("value")))
+    return rows.groupBy("verts").agg(F.min("value").alias("value"))
+
+
+def clique_complex(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(verts, value) of vertices (v, value) and edges (a, b, value) with the triangles these enclose, at the largest of their edges."""
+    t = triangles(edges)
+    for p, q in (("a", "b"), ("a", "c"), ("b", "c")):
+        t = t.join(edges.select(F.col("a").alias(p), F.col("b").alias(q), F.col("value").alias(f"w{p}{q}")), [p, q])
+    out = vertices.select(F.array("v").alias("verts"), "value").unionByName(edges.select(F.array("a", "b").alias("verts"), "value"))
+    return out.unionByName(t.select(F.array("a", "b", "c").alias("verts"), F.greatest("wab", "wac", "wbc").alias("value")))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c): 3-cliques of edges (a, b), a < b."""
     e = edges.select("a", "b")
@@ -173,11 +196,9 @@ def pairwise_values(simplices: DataFrame, landmarks: DataFrame) -> DataFrame:
 
 
 def index(simplices: DataFrame) -> DataFrame:
-    """(sidx, verts, dim, value) in order of (value, dim, verts). One global order of a landmark complex, whose size the
-    landmarks bound."""
-    s = simplices.withColumn("dim", F.size("verts") - 1)
-    w = Window.orderBy("value", "dim", "verts")
-    return s.select((F.row_number().over(w) - 1).alias("sidx"), "verts", "dim", "value")
+    """(sidx, verts, dim, value) in order of (value, dim, verts), numbered in range partitions."""
+    s = numbered(simplices.withColumn("dim", F.size("verts") - 1), [], [F.col("value"), F.col("dim"), F.col("verts")], "n")
+    return s.select((F.col("n") - 1).cast("int").alias("sidx"), "verts", "dim", "value")
 
 
 def skeleton(simplices: DataFrame, landmarks: DataFrame, k: int, kind: str = "alpha", threshold: float = float("inf")) -> DataFrame:

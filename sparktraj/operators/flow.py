@@ -34,21 +34,25 @@ def major(counts: DataFrame, hard_terminus: bool = False) -> DataFrame:
     return both.where("m is null or n > m or (n = m and a < b)").select("a", "b", "n")
 
 
-def flow_edges(counts: DataFrame, scale: str = "max", qq: float = 0.0, hard_terminus: bool = False) -> DataFrame:
-    """(a, b, n, weight, width, arrow): n over the largest n, over the larger flow of the pair's ends (adaptive) or over the
-    mean of ins and outs halves; arrows only for weights above their qq-quantile."""
+def flow_edges(counts: DataFrame, scale: str = "max", qq: float = 0.0, hard_terminus: bool = False, origins: DataFrame | None = None) -> DataFrame:
+    """(a, b, n, weight, width, arrow): n over the flow of the community it leaves, half of its ins and outs (mean); over the largest
+    of these halves (max); or (adaptive) over the ins of a community with ratio below 1, the outs of an origin (mc of
+    ``origins``) and the half of any other. Arrows only for widths not under their qq-quantile, those above it 7 wider."""
     kept = major(counts, hard_terminus)
+    half = (F.col("ins") + F.col("outs")) / 2
     bal = balance(counts)
     if scale == "max":
-        e = with_scalars(kept, kept.agg(F.max("n").alias("s")))
-    elif scale == "adaptive":
-        e = kept.join(bal.select(F.col("mc").alias("a"), F.greatest("ins", "outs").alias("s")), "a")
+        e = with_scalars(kept, bal.agg(F.max(half).alias("s")))
     else:
-        e = with_scalars(kept, bal.agg(F.avg((F.col("ins") + F.col("outs")) / 2).alias("s")))
-    e = e.select("a", "b", "n", (F.col("n") / F.col("s")).alias("weight"))
-    q = exact_quantiles(e, [], "weight", [qq]).select("q")
-    e = with_scalars(e, q).withColumn("arrow", F.col("weight") >= F.col("q"))
-    return e.select("a", "b", "n", "weight", (F.pow("weight", F.lit(1.2)) * 19 + F.when(F.col("weight") > F.col("q"), 7).otherwise(0)).alias("width"), "arrow")
+        if scale == "adaptive":
+            half = F.when(F.col("ratio") < 1, F.col("ins")).otherwise(half)
+            if origins is not None:
+                bal = bal.join(origins.select("mc").distinct().withColumn("origin", F.lit(True)), "mc", "left")
+                half = F.when(F.col("origin"), F.col("outs")).otherwise(half)
+        e = kept.join(bal.select(F.col("mc").alias("a"), half.alias("s")), "a")
+    e = e.select("a", "b", "n", (F.col("n") / F.col("s")).alias("weight")).withColumn("width", F.pow("weight", F.lit(1.2)) * 19)
+    e = with_scalars(e, exact_quantiles(e, [], "width", [qq]).select("q"))
+    return e.select("a", "b", "n", "weight", (F.col("width") + F.when(F.col("width") > F.col("q"), 7).otherwise(0)).alias("width"), (F.col("width") >= F.col("q")).alias("arrow"))
 
 
 def node_positions(layout: DataFrame, communities: DataFrame, dim: int = 2) -> DataFrame:
@@ -74,4 +78,5 @@ def connectome(walks: DataFrame, communities: DataFrame, labels: DataFrame, layo
     """Nodes (mc, x, terminus, origin) and edges of the flow between communities."""
     counts = transitions(walks, communities)
     nodes = node_positions(layout, communities).join(node_tags(counts, communities, origins), "mc", "left")
-    return nodes, flow_edges(counts, **options)
+    begins = communities.join(origins.select("id"), "id", "left_semi").select("mc")
+    return nodes, flow_edges(counts, origins=begins, **options)

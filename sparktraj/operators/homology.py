@@ -9,10 +9,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from ..functions.scalars import with_scalars
+from ..sources.shared import written
 from .walks import pairs
 
 #: Simplices up to which a complex is reduced.
@@ -65,14 +67,16 @@ def essential(reduced: DataFrame, simplices: DataFrame) -> DataFrame:
     return simplices.join(used, "sidx", "left_anti").select("dim", "sidx", F.col("value").alias("birth"))
 
 
-def with_essential(finite: DataFrame, infinite: DataFrame, ratio: bool = False) -> DataFrame:
-    """Essential classes get places beyond the finite ones: death 1.01 * largest death and further for each, or with ``ratio``
-    deaths at 1.5 times the largest ratio to their birth."""
-    top = finite.agg(F.max("death").alias("top"), F.max(F.when(F.col("birth") > 0, F.col("death") / F.col("birth"))).alias("r"))
-    n = F.row_number().over(Window.orderBy("birth", "sidx"))  # few classes
-    e = with_scalars(infinite, top).withColumn("n", n)
-    death = F.when(F.lit(ratio) & (F.col("birth") > 0), F.col("birth") * F.coalesce("r", F.lit(1.0)) * 1.5).otherwise(F.coalesce("top", F.lit(1.0)) * (1 + 0.01 * F.col("n")))
-    rows = e.select("dim", F.col("sidx").alias("birth_idx"), F.lit(None).cast("int").alias("death_idx"), "birth", F.greatest(death, F.col("birth")).alias("death"))
+def with_essential(finite: DataFrame, infinite: DataFrame) -> DataFrame:
+    """Essential classes get places beyond the finite ones, in order of (birth, sidx): deaths spread evenly from m to m + (m - l) / 2,
+    m and l being 1.01 times the largest and the least finite death; births such that death / birth is 1.5 times the largest
+    finite ratio (0 if a finite birth is 0). Without finite classes deaths are 1.01 and ratios 1.5."""
+    at = finite.agg(F.coalesce(1.01 * F.max("death"), F.lit(1.01)).alias("m"), F.coalesce(1.01 * F.min("death"), F.lit(1.01)).alias("l"), F.min("birth").alias("least"), F.max(F.try_divide("death", "birth")).alias("r"))
+    e = numbered(with_scalars(infinite.select("dim", "sidx", "birth"), at), [], [F.col("birth"), F.col("sidx")], "n")
+    e = with_scalars(e, infinite.agg(F.count("*").alias("of")))
+    death = F.col("m") + 0.5 * (F.col("m") - F.col("l")) * F.coalesce(F.try_divide(F.col("n") - 1, F.col("of") - 1), F.lit(0.0))
+    birth = F.when(F.col("least") <= 0, 0.0).otherwise(death / (1.5 * F.coalesce("r", F.lit(1.0))))
+    rows = e.select("dim", F.col("sidx").alias("birth_idx"), F.lit(None).cast("int").alias("death_idx"), birth.alias("birth"), death.alias("death"))
     return finite.unionByName(rows)
 
 
@@ -142,10 +146,12 @@ def triangulate(walks: DataFrame, simplices: DataFrame, landmarks: DataFrame) ->
 
 
 def cycles_against(chains: DataFrame, reference: int) -> DataFrame:
-    """(walk_id, e): every walk's chain plus that of the reference walk, modulo two."""
-    ref = chains.where(F.col("walk_id") == reference).select("e")
-    each = chains.where(F.col("walk_id") != reference).select("walk_id").distinct().crossJoin(F.broadcast(ref))  # one walk's edges
-    return chain_sum(chains.where(F.col("walk_id") != reference), each, ["walk_id"])
+    """(walk_id, e): every walk's chain plus that of the reference walk, modulo two. The edges of a walk are bounded by those of the
+    complex, so a chain is one array and the reference's chain a constant."""
+    ref = chains.where(F.col("walk_id") == reference).agg(F.collect_set("e").alias("ref"))
+    own = with_scalars(chains.where(F.col("walk_id") != reference).groupBy("walk_id").agg(F.collect_set("e").alias("own")), ref)
+    both = F.concat(F.array_except("own", "ref"), F.array_except("ref", "own"))
+    return own.select("walk_id", F.explode(both).alias("e"))
 
 
 class Representation:
@@ -156,8 +162,9 @@ class Representation:
         self.by_low = {int(low): (int(c), set(map(int, e))) for c, low, e in zip(reduced["col"], reduced["low"], reduced["entries"])}
         self.new: dict[int, set[int]] = {}
 
-    def of(self, cycle: set[int], update: bool = True) -> list[int]:
-        cycle, out = set(cycle), []
+    def go_on(self, cycle: set[int], out: list[int]) -> set[int]:
+        """Reduces until nothing is left, or until the largest entry is an essential class not yet known: what is left then."""
+        cycle = set(cycle)
         while cycle:
             low = max(cycle)
             if low in self.by_low:
@@ -168,24 +175,46 @@ class Representation:
                 cycle ^= self.new[low]
                 out.append(-low)
             else:
-                out.append(-low)
-                if update:
-                    self.new[low] = set(cycle)
                 break
+        return cycle
+
+    def of(self, cycle: set[int], update: bool = True) -> list[int]:
+        out: list[int] = []
+        left = self.go_on(cycle, out)
+        if left:
+            out.append(-max(left))
+            if update:
+                self.new[max(left)] = left
         return sorted(out)
 
 
 def represent(cycles: DataFrame, reduced: DataFrame) -> DataFrame:
-    """(walk_id, classes): every cycle in terms of reduced columns and essential classes, in order of walk_id: essential classes
-    are shared along the way, hence one task over the walks at hand."""
-    base = reduced.toPandas()
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        r = Representation(base)
-        rows = [(w, r.of(set(g["e"]))) for w, g in t.groupby("walk_id", sort=True)]
-        return pd.DataFrame(rows, columns=["walk_id", "classes"])
+    """(walk_id, classes): every cycle in terms of reduced columns and essential classes, as if they were taken in order of walk_id and
+    each named the essential classes it met first.
+
+    Distinct cycles are reduced in parallel as far as the known classes reach; of those that stop the one of the smallest walk names
+    its class, and the rest go on: a round for every essential class met, whose number the complex bounds."""
+    r = Representation(reduced.toPandas())
+    each = written(cycles.groupBy("walk_id").agg(F.array_sort(F.collect_set("e")).alias("cycle")), "cycles")  # edges of the complex
+    state = each.groupBy("cycle").agg(F.min("walk_id").alias("walk_id")).select("cycle", "walk_id", F.array().cast("array<int>").alias("found"), F.col("cycle").alias("left"))
+    schema = "cycle array<int>, walk_id long, found array<int>, left array<int>"
+
+    def reduce(batches):
+        for t in batches:
+            rows = []
+            for cycle, walk, found, left in zip(t["cycle"], t["walk_id"], t["found"], t["left"]):
+                found = list(found)
+                rest = sorted(r.go_on(set(map(int, left)), found)) if len(left) else []
+                rows.append((list(cycle), walk, found, rest))
+            yield pd.DataFrame(rows, columns=["cycle", "walk_id", "found", "left"])
 
-    return cycles.groupBy(F.lit(0).alias("one")).applyInPandas(run, "walk_id long, classes array<int>")
+    while True:
+        state = written(state.mapInPandas(reduce, schema), "classes")
+        stopped = state.where(F.size("left") > 0).agg(F.min_by("left", "walk_id").alias("left")).first()["left"]
+        if stopped is None:
+            break
+        r.new[max(stopped)] = set(stopped)
+    return each.join(state.select("cycle", F.array_sort("found").alias("classes")), "cycle").select("walk_id", "classes")
 
 
 def restrict(classes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -197,26 +226,20 @@ def restrict(classes: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def dendrogram(classes: DataFrame, order: dict[int, float], percent: float = 0.0) -> DataFrame:
     """(walk_id, leaf): walks split class by class, the longest living first, into those with and without it; a split ends at
-    groups of at most percent of the walks. A leaf's name is the path to it."""
-    t = classes.toPandas()
-    least = int(np.ceil(len(t) * percent / 100)) if percent else 1
-    names = sorted(order, key=lambda c: (-order[c], c))
-    sets = {w: set(c) for w, c in zip(t["walk_id"], t["classes"])}
-    leaf: dict[int, str] = {}
-
-    def split(walks: list[int], depth: int, name: str) -> None:
-        while depth < len(names):
-            c = names[depth]
-            yes = [w for w in walks if c in sets[w]]
-            depth += 1
-            if yes and len(yes) < len(walks):
-                if len(walks) <= least:
-                    break
-                split(yes, depth, f"{name}_{c}")
-                split([w for w in walks if c not in sets[w]], depth, f"{name}_-{c}")
-                return
-        leaf.update(dict.fromkeys(walks, name))
-
-    split(sorted(sets), 0, "ROOT")
-    spark = classes.sparkSession
-    return spark.createDataFrame(sorted(leaf.items()), "walk_id long, leaf string")
+    groups of at most percent of the walks. A leaf's name is the path to it. Walks with equal classes move as one row; every class
+    of ``order`` is a round of counts per leaf."""
+    t = classes.select("walk_id", F.array_sort(F.array_distinct("classes")).alias("classes"))
+    sets = written(t.groupBy("classes").agg(F.count("*").alias("n")), "sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    least = int(np.ceil(total * percent / 100)) if percent else 1
+    sets = sets.select("classes", "n", F.lit("ROOT").alias("leaf"), F.lit(True).alias("open"))
+    for i, c in enumerate(sorted(order, key=lambda c: (-order[c], c))):
+        has = F.array_contains("classes", F.lit(int(c)))
+        size = sets.groupBy("leaf").agg(F.sum("n").alias("all"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("yes"))
+        sets = sets.join(size, "leaf")
+        parts = F.col("open") & (F.col("yes") > 0) & (F.col("yes") < F.col("all"))
+        name = F.when(parts & (F.col("all") > least), F.concat("leaf", F.when(has, F.lit(f"_{c}")).otherwise(F.lit(f"_-{c}")))).otherwise(F.col("leaf"))
+        sets = sets.select("classes", "n", name.alias("leaf"), (F.col("open") & ~(parts & (F.col("all") <= least))).alias("open"))
+        if i % 4 == 3:
+            sets = written(sets, "sets")
+    return t.join(sets.select("classes", "leaf"), "classes").select("walk_id", "leaf")

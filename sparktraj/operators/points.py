@@ -73,31 +73,57 @@ def core_points(lists: DataFrame, perc: float = 0.8) -> DataFrame:
     return with_scalars(last, q).where("dens > q").select(F.col("src").alias("id"))
 
 
-def densities(lists: DataFrame, k: int, d: float = 2.0) -> DataFrame:
-    """(id, dens): k / (n V_d) / (distance to neighbour k)^d."""
-    at = lists.where(F.col("rnk") == k)
+def kth_distance(lists: DataFrame, k: int) -> DataFrame:
+    """(id, dist): distance to the k-th entry of a list that counts the point itself first, that is to its neighbour k - 1."""
+    return lists.where(F.col("rnk") == k - 1).select(F.col("src").alias("id"), "dist")
+
+
+def densities(lists: DataFrame, k: int, d: float = 2.0, e: float = 1.0) -> DataFrame:
+    """(id, dens): (k / (n V_d) / (distance to entry k)^d)^e, the point itself being entry 1; copies at distance 0 are infinitely
+    dense."""
+    at = kth_distance(lists, k)
     v = math.pi ** (d / 2) / math.gamma(d / 2 + 1)
     n = at.agg(F.count("*").alias("n"))
-    return with_scalars(at, n).select(F.col("src").alias("id"), (k / (F.col("n") * v) / F.pow("dist", d)).alias("dens"))
-
-
-def down_sample(lists: DataFrame, n_keep: int, k: int = 10, d: float = 2.0, seed: int = 7) -> DataFrame:
-    """(id): density-dependent sample. The boundary density is chosen so that about n_keep rows stay: dense rows stay with
-    probability boundary / density."""
-    dens = written(densities(lists, k, d), "density")
-    # sum of 1/dens over rows at least as dense, per distinct density
-    by = dens.groupBy("dens").agg((F.count("*") / F.col("dens")).alias("inv"))
-    cdf = running_sum(by, [], [F.desc("dens")], "inv", "cdf")
-    cdf = cdf.withColumn("target", n_keep / F.col("cdf"))
-    whole = cdf.agg((n_keep / F.max("cdf")).alias("all"), F.min("dens").alias("least"))
-    first = cdf.where("target <= dens").agg(F.min_by("target", "dens").alias("b"))
-    bound = with_scalars(whole, first).select(F.when(F.col("all") > F.col("least"), F.coalesce("b", "all")).otherwise(F.col("all")).alias("boundary"))
+    return with_scalars(at, n).select("id", F.when(F.col("dist") > 0, F.pow(k / (F.col("n") * v) / F.pow("dist", d), F.lit(float(e)))).otherwise(F.lit(math.inf)).alias("dens"))
+
+
+def down_sample(lists: DataFrame, n_keep: int, k: int = 10, d: float = 2.0, e: float = 1.0, seed: int = 7) -> DataFrame:
+    """(id): density-dependent sample; dense rows stay with probability boundary / density.
+
+    With the densities in ascending order and cdf_i the sum of 1 / density from row i on, the boundary is n_keep / cdf_1, or
+    where that exceeds the least density the first (n_keep - i) / cdf_i that doesn't exceed density i (the first of all if each
+    does)."""
+    dens = written(densities(lists, k, d, e), "density")
+    size = dens.agg(F.count("*").alias("n"), F.min("dens").alias("least"))
+    down = [F.desc("dens"), F.desc("id")]
+    rows = numbered(with_scalars(dens.withColumn("inv", 1 / F.col("dens")), size), [], down, "r")
+    rows = running_sum(rows, [], down, "inv", "cdf").withColumn("i", F.col("n") - F.col("r") + 1)
+    keep = F.least(F.lit(n_keep), F.col("n"))
+    rows = rows.select("i", "dens", "least", (keep / F.col("cdf")).alias("all"), ((keep - F.col("i")) / F.col("cdf")).alias("target"))
+    got = rows.agg(F.min_by("all", "i").alias("all"), F.min("least").alias("least"), F.min_by("target", "i").alias("one"), F.min_by("target", F.when(F.col("target") <= F.col("dens"), F.col("i"))).alias("first"))
+    bound = got.select(F.when(F.col("all") > F.col("least"), F.coalesce("first", "one")).otherwise(F.col("all")).alias("boundary"))
     return with_scalars(dens, bound).where(F.col("boundary") / F.col("dens") > uniform(seed, "id")).select("id")
 
 
 def weighted_sample(weights: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """(id): n rows without replacement with probability proportional to w, by exponential keys."""
-    return weights.where("w > 0").select("id", (-F.log(uniform(seed, "id") + 1e-12) / F.col("w")).alias("key")).orderBy("key", "id").limit(n).select("id")
+    """(id): n rows without replacement with probability proportional to w, by exponential keys. A column log_w in place of w holds
+    logarithms, for weights beyond the range of a double."""
+    u = -F.log(uniform(seed, "id") + 1e-12)
+    if "log_w" in weights.columns:
+        keyed = weights.where("log_w is not null").select("id", (F.log(u) - F.col("log_w")).alias("key"))
+    else:
+        keyed = weights.where("w > 0").select("id", (u / F.col("w")).alias("key"))
+    return keyed.orderBy("key", "id").limit(n).select("id")
+
+
+def sparse_sample(lists: DataFrame, n: int, k: int = 10, e: float = 1.0, method: str = "naive", seed: int = 7) -> DataFrame:
+    """(id): n rows drawn by their distance to entry k of the list: weights dist^e (naive) or exp(dist^e) (exp)."""
+    far = kth_distance(lists, k)
+    if method == "naive":
+        return weighted_sample(far.select("id", F.pow("dist", F.lit(float(e))).alias("w")), n, seed)
+    if method == "exp":
+        return weighted_sample(far.select("id", F.pow("dist", F.lit(float(e))).alias("log_w")), n, seed)
+    raise ValueError(f"unknown method {method}: naive or exp")
 
 
 def upsample_labels(labels: DataFrame, n: int, take_all: str | None = None, replace: bool = True, seed: int = 3) -> DataFrame:
@@ -121,18 +147,51 @@ def upsample_labels(labels: DataFrame, n: int, take_all: str | None = None, repl
     return out
 
 
+def _hashed_uniform(*keys: np.ndarray | int) -> np.ndarray:
+    """Uniforms in (0, 1) from integer keys, by the finaliser of a 64-bit mix."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = (h ^ np.asarray(k).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def gamma_of(ids: np.ndarray, draw: int, at: np.ndarray, alpha: float, seed: int) -> np.ndarray:
+    """Gamma(alpha) variates that follow from (id, draw, position): squeeze rejection for alpha + 1, times u^(1 / alpha)."""
+    d = alpha + 1 - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    out, open_, turn = np.zeros(len(ids)), np.arange(len(ids)), 0
+    while len(open_):
+        u = [_hashed_uniform(seed, ids[open_], draw, at[open_], 4 * turn + j) for j in range(3)]
+        z = np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+        v = (1 + c * z) ** 3
+        ok = (v > 0) & (np.log(u[2]) < 0.5 * z * z + d - d * v + d * np.log(np.where(v > 0, v, 1)))
+        out[open_[ok]] = d * v[ok]
+        open_, turn = open_[~ok], turn + 1
+    return out * _hashed_uniform(seed, ids, draw, at, 3) ** (1 / alpha)
+
+
 def upsample(points: DataFrame, lists: DataFrame, n: int, alpha: float = 0.1, seed: int = 5) -> DataFrame:
     """(id, draw, x): n synthetic rows per point, mixtures of its neighbours with Dirichlet(alpha) weights."""
-    both = lists.join(points.select(F.col("id").alias("dst"), "x"), "dst").groupBy("src").agg(F.collect_list("x").alias("xs"))  # k vectors
+    both = lists.join(points.select(F.col("id").alias("dst"), "x"), "dst").groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "x"))), lambda s: s["x"]).alias("xs"))  # k vectors
 
     def run(batches):
         for b in batches:
-            out = []
-            for i, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = np.random.default_rng([seed, i & 0x7FFFFFFF]).gamma(alpha, size=(n, len(xs))) + 1e-300
-                y = (g / g.sum(1, keepdims=True)) @ np.array(xs)
-                out += [(i, k + 1, r) for k, r in enumerate(y.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["id", "draw", "x"])
+            ids, xs = b.column(0).to_numpy(), b.column(1)
+            size = np.diff(xs.offsets.to_numpy())
+            of = np.repeat(np.arange(len(ids)), size)  # the list of every vector, then every draw of them
+            at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            vec = matrix(xs.flatten())
+            y = np.zeros((len(ids), n, vec.shape[1]))
+            for k in range(n):
+                g = gamma_of(ids[of], k, at, alpha, seed) + 1e-300
+                total = np.bincount(of, g, len(ids))
+                np.add.at(y[:, k], of, vec * (g / total[of])[:, None])
+            flat = y.reshape(len(ids) * n, -1)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(ids))), cells], ["id", "draw", "x"])
 
     return both.mapInArrow(run, "id long, draw int, x array<double>")
 
@@ -183,26 +242,26 @@ def farthest_points(points: DataFrame, k: int, start: int | None = None) -> Data
     return points.sparkSession.createDataFrame(picked, "pick int, id long")
 
 
-def sigma(lists: DataFrame, target: float) -> DataFrame:
-    """(src, sigma): bisection so that the list's sum of exp(-max(d, 0) / sigma) reaches the target; 64 halvings, 1e-5."""
+def sigma(lists: DataFrame, target: float | None = None) -> DataFrame:
+    """(src, sigma): bisection so that the list's sum of exp(-max(d, 0) / sigma) reaches the target, log2 of its length if none is
+    given; 64 halvings, 1e-5. All lists of a batch are bisected together."""
 
     @F.pandas_udf("double")
     def bisect(ds: pd.Series) -> pd.Series:
-        def one(d):
-            lo, hi, mid = 0.0, math.inf, 1.0
-            for _ in range(64):
-                s = np.where(d > 0, np.exp(-d / mid), 1.0).sum()
-                if abs(s - target) < 1e-5:
-                    break
-                if s > target:
-                    hi = mid
-                    mid = (lo + hi) / 2
-                else:
-                    lo = mid
-                    mid = mid * 2 if hi == math.inf else (lo + hi) / 2
-            return mid
-
-        return ds.map(lambda d: one(np.asarray(d, float)))
+        size = ds.map(len).to_numpy()
+        d = np.full((len(ds), max(1, int(size.max(initial=1)))), np.inf)  # padded: an infinite distance adds nothing
+        d[np.arange(d.shape[1])[None] < size[:, None]] = np.concatenate([np.empty(0), *ds])
+        goal = np.full(len(ds), target) if target is not None else np.log2(np.maximum(size, 1))
+        lo, hi, mid, open_ = np.zeros(len(ds)), np.full(len(ds), np.inf), np.ones(len(ds)), np.arange(len(ds))
+        for _ in range(64):
+            s = np.where(d[open_] > 0, np.exp(-d[open_] / mid[open_, None]), 1.0).sum(1)
+            apart = np.abs(s - goal[open_]) >= 1e-5
+            open_, above = open_[apart], (s > goal[open_])[apart]
+            if not len(open_):
+                break
+            hi[open_[above]], lo[open_[~above]] = mid[open_[above]], mid[open_[~above]]
+            mid[open_] = np.where(np.isinf(hi[open_]), mid[open_] * 2, (lo[open_] + np.where(np.isinf(hi[open_]), 0, hi[open_])) / 2)
+        return pd.Series(mid)
 
     return lists.groupBy("src").agg(F.collect_list("dist").alias("ds")).select("src", bisect("ds").alias("sigma"))
 

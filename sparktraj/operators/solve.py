@@ -2,8 +2,8 @@
 
 (D - A) x = b on all vertices but the origin, x = 0 there. The matrix is scaled to unit diagonal; up to ``exact`` unknowns it is
 solved directly, above by conjugate gradients, MINRES or BiCGSTAB. Graphs up to LOCAL_EDGES edges are solved in memory; larger
-ones by conjugate gradients whose products are joins and sums of DataFrames, with a written table each step. Vertices that
-the origin can't reach have no finite value and get null.
+ones by the same methods over tables of vectors, whose products are joins and sums of DataFrames, with a written table each
+step. Vertices that have no way to the origin have no finite value and get null.
 """
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .sparse import local_matrix
+from .components import connected
+from .sparse import LOCAL_EDGES, local_matrix
+from .walks import ancestors
 
 EXACT, STEPS, EPS = 1000, 1500, 1e-12
 
@@ -144,47 +146,157 @@ def _solve(i, j, w, n, rhs, fixed, values, method, exact, steps, eps, guess=None
     return x, done, error
 
 
-def hitting(similarity: DataFrame, origin: int, distances: DataFrame | None = None, method: str = "cg", exact: int = EXACT, steps: int = STEPS, eps: float = EPS, targets: dict[int, float] | None = None) -> DataFrame:
-    """(id, pt): expected hitting time of the walk on the symmetric similarity, or with ``distances`` the expected distance."""
+def hitting(similarity: DataFrame, origin: int, distances: DataFrame | None = None, method: str = "cg", exact: int = EXACT, steps: int = STEPS, eps: float = EPS, targets: dict[int, float] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, pt): expected hitting time of the walk on the similarity, or with ``distances`` the expected distance. ``targets`` are
+    further vertices with given values. Above ``local_edges`` edges the system stays distributed, with the same arguments."""
     if distances is not None:
         edges = similarity.join(distances.withColumnRenamed("w", "d"), ["src", "dst"]).select("src", "dst", "w", (F.col("w") * F.col("d")).alias("c"))
     else:
         edges = similarity.select("src", "dst", "w", F.col("w").alias("c"))
-    got = local_matrix(edges)
+    got = local_matrix(edges, local_edges)
+    fixed = {int(origin): 0.0} | (targets or {})
     if got is None:
-        return distributed_cg(edges, origin, min(steps, 200), max(eps, 1e-6))
+        at = similarity.sparkSession.createDataFrame([(int(k), float(v)) for k, v in fixed.items()], "id long, value double")
+        return distributed(edges, at, method, exact, steps, eps)
     t = edges.select("src", "dst", "w", "c").toArrow()
     ids = got[0]
     i, j = np.searchsorted(ids, t.column("src").to_numpy()), np.searchsorted(ids, t.column("dst").to_numpy())
     w, rhs = t.column("w").to_numpy(), np.bincount(i, t.column("c").to_numpy(), len(ids))
-    fixed = {int(origin): 0.0} | (targets or {})
     where = np.searchsorted(ids, list(fixed))
     x, _, _ = _solve(i, j, w, len(ids), rhs, where, np.array(list(fixed.values())), method, exact, steps, eps)
     return similarity.sparkSession.createDataFrame(pa.table({"id": ids, "pt": pa.array(x, mask=np.isnan(x))}))
 
 
-def distributed_cg(edges: DataFrame, origin: int, steps: int = 200, eps: float = 1e-6) -> DataFrame:
-    """The same system with vectors as tables (id, value): a product is a join and a sum, a written table cuts each step. For
-    graphs too large for one machine; all vertices must be connected to the origin."""
-    e = written(edges, "edges")
-    d = e.groupBy("src").agg(F.sum("w").alias("d"), F.sum("c").alias("b"))
-    free = written(d.where(F.col("src") != origin).select(F.col("src").alias("id"), "d", (F.col("b") / F.sqrt("d")).alias("r")), "free")
+class Vectors:
+    """The vectors of an iteration as columns of one table (id, ...). A product with the matrix 1 - off is a join and a sum, and
+    writes the table; updates between two products stay expressions."""
+
+    def __init__(self, off: DataFrame, table: DataFrame):
+        self.off, self.t = off, table
+
+    def put(self, **columns) -> None:
+        self.t = self.t.withColumns({k: v if not isinstance(v, (int, float)) else F.lit(float(v)) for k, v in columns.items()})
+
+    def times(self, out: str, of: str) -> None:
+        s = self.off.join(self.t.select(F.col("id").alias("dst"), F.col(of).alias("_q")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("_q")).alias("_s"))
+        self.t = written(self.t.drop(out).join(s, "id", "left").withColumn(out, F.col(of) - F.coalesce("_s", F.lit(0.0))).drop("_s"), "vectors")
+
+    def dots(self, *pairs: str) -> list[float]:
+        row = self.t.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(p.split() for p in pairs)]).first()
+        return [float(v or 0.0) for v in row]
+
+
+def _table_cg(s: Vectors, steps: int, eps: float) -> None:
+    c = F.col
+    s.put(x=0, r=c("b"), p=c("b"))
+    rr = first = s.dots("b b")[0]
+    for _ in range(steps):
+        if rr <= eps * eps * first:
+            return
+        s.times("ap", "p")
+        alpha = rr / s.dots("p ap")[0]
+        s.put(x=c("x") + alpha * c("p"), r=c("r") - alpha * c("ap"))
+        new = s.dots("r r")[0]
+        s.put(p=c("r") + new / rr * c("p"))
+        rr = new
+
+
+def _table_minres(s: Vectors, steps: int, eps: float) -> None:
+    c = F.col
+    norm = math.sqrt(s.dots("b b")[0])
+    s.put(x=0)
+    if not norm:
+        return
+    s.put(v_old=0, v=c("b") / norm, dir_old=0, dir=0)
+    beta, c_old, c_now, s_old, s_now, eta, rest = 0.0, 1.0, 1.0, 0.0, 0.0, norm, norm
+    for _ in range(steps):
+        s.times("av", "v")
+        alpha = s.dots("v av")[0] - beta * s.dots("v v_old")[0]
+        s.put(u=c("av") - beta * c("v_old") - alpha * c("v"))
+        beta_new = math.sqrt(s.dots("u u")[0])
+        delta, r2, r3 = c_now * alpha - c_old * s_now * beta, s_now * alpha + c_old * c_now * beta, s_old * beta
+        r1 = math.hypot(delta, beta_new) or 1e-300
+        c_old, c_now, s_old, s_now = c_now, delta / r1, s_now, beta_new / r1
+        s.put(dir_new=(c("v") - r3 * c("dir_old") - r2 * c("dir")) / r1)
+        s.put(x=c("x") + c_now * eta * c("dir_new"), dir_old=c("dir"), dir=c("dir_new"))
+        rest, eta = rest * abs(s_now), -eta * s_now
+        if rest <= eps * norm or beta_new < 1e-300:
+            return
+        s.put(v_old=c("v"), v=c("u") / beta_new)
+        beta = beta_new
+
+
+def _table_bicgstab(s: Vectors, steps: int, eps: float) -> None:
+    c = F.col
+    s.put(x=0, r=c("b"), shadow=c("b"), p=0, v=0)
+    rho = alpha = omega = 1.0
+    first = s.dots("b b")[0]
+    for _ in range(steps):
+        rr, new = s.dots("r r", "shadow r")
+        if rr <= eps * eps * first:
+            return
+        if abs(new) < 1e-300:
+            s.put(shadow=c("r"), p=0, v=0)
+            new, rho, alpha, omega = rr, 1.0, 1.0, 1.0
+        s.put(p=c("r") + new / rho * alpha / omega * (c("p") - omega * c("v")))
+        rho = new
+        s.times("v", "p")
+        alpha = rho / s.dots("shadow v")[0]
+        s.put(s=c("r") - alpha * c("v"))
+        s.times("t", "s")
+        ts, tt = s.dots("t s", "t t")
+        omega = ts / max(tt, 1e-300)
+        s.put(x=c("x") + alpha * c("p") + omega * c("s"), r=c("s") - omega * c("t"))
+
+
+TABLE_METHODS = {"cg": _table_cg, "minres": _table_minres, "bicgstab": _table_bicgstab}
+
+
+def distributed(edges: DataFrame, fixed: DataFrame, method: str = "cg", exact: int = EXACT, steps: int = STEPS, eps: float = EPS) -> DataFrame:
+    """(id, pt): the same system over tables, for edges (src, dst, w, c) and fixed (id, value) of any number. Which vertices have a
+    way to a fixed one is told by components (cg and minres, whose matrices are symmetric) or by a search backwards."""
+    e, fixed = written(edges.select("src", "dst", "w", "c"), "edges"), written(fixed.select("id", "value"), "fixed")
+    if method == "bicgstab":
+        reached = ancestors(e, fixed)
+    else:
+        root = connected(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        reached = root.join(root.join(fixed.withColumnRenamed("id", "node"), "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("id"))
+    d = e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), F.sum("c").alias("c")).where("d > 0")
+    known = e.join(fixed.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("value")).alias("k"))
+    free = d.join(reached, "id", "left_semi").join(fixed, "id", "left_anti").join(known, "id", "left")
+    free = written(free.select("id", "d", ((F.col("c") + F.coalesce("k", F.lit(0.0))) / F.sqrt("d")).alias("b")), "free")
     size = free.select("id", "d")
     off = e.join(size.withColumnRenamed("id", "src").withColumnRenamed("d", "d1"), "src").join(size.withColumnRenamed("id", "dst").withColumnRenamed("d", "d2"), "dst")
     off = written(off.select("src", "dst", (F.col("w") / F.sqrt(F.col("d1") * F.col("d2"))).alias("w")).repartition("src"), "scaled")
-    v = free.select("id", F.lit(0.0).alias("x"), "r", F.col("r").alias("p"))
-    rr = first = v.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-    for _ in range(steps):
-        if rr is None or rr <= eps * eps * first:
-            break
-        ap = off.join(v.select(F.col("id").alias("dst"), F.col("p").alias("q")), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
-        v = written(v.join(ap.withColumnRenamed("src", "id"), "id", "left").select("id", "x", "r", "p", (F.col("p") - F.coalesce("s", F.lit(0.0))).alias("ap")), "cg")
-        alpha = rr / v.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        v = v.select("id", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
-        new = v.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        v, rr = v.select("id", "x", "r", (F.col("r") + new / rr * F.col("p")).alias("p")), new
-    out = v.join(free.select("id", "d"), "id").select("id", (F.col("x") / F.sqrt("d")).alias("pt"))
-    return out.unionByName(edges.sparkSession.createDataFrame([(int(origin), 0.0)], "id long, pt double"))
+    spark, m = edges.sparkSession, free.count()
+    if m <= exact:  # at most exact^2 entries
+        t, a = free.toArrow(), off.groupBy("src", "dst").agg(F.sum("w").alias("w")).toArrow()
+        ids = t.column("id").to_numpy()
+        o = np.argsort(ids)
+        dense = np.eye(m)
+        np.add.at(dense, (o[np.searchsorted(ids[o], a.column("src").to_numpy())], o[np.searchsorted(ids[o], a.column("dst").to_numpy())]), -a.column("w").to_numpy()) if m else None
+        x = np.linalg.solve(dense, t.column("b").to_numpy()) / np.sqrt(t.column("d").to_numpy())
+        inner = spark.createDataFrame(pa.table({"id": ids, "pt": x}))
+    else:
+        s = Vectors(off, free)
+        TABLE_METHODS[method](s, steps, eps)
+        inner = s.t.select("id", (F.col("x") / F.sqrt("d")).alias("pt"))
+    inner = written(inner.unionByName(fixed.withColumnRenamed("value", "pt")), "solved")
+    every = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return every.join(inner, "id", "left").select("id", "pt")
+
+
+def directed_graph(lists: DataFrame, origin: int, name: str = "exp", directed: bool = True) -> DataFrame:
+    """(src, dst, w): the max-symmetrised similarity of neighbour lists, with ``directed`` only the edges that lead away from the origin
+    by expected hitting time; weights are not normalised."""
+    from .sparse import distances, kernel, symmetrize
+
+    k = written(symmetrize(kernel(distances(lists), name)), "similarity")
+    if not directed:
+        return k
+    t = hitting(k, origin)
+    go = k.join(t.select(F.col("id").alias("src"), F.col("pt").alias("a")), "src").join(t.select(F.col("id").alias("dst"), F.col("pt").alias("b")), "dst")
+    return go.where("a < b").select("src", "dst", "w")
 
 
 def residuals(similarity: DataFrame, pt: DataFrame, cost: DataFrame | None = None) -> DataFrame:
@@ -195,15 +307,28 @@ def residuals(similarity: DataFrame, pt: DataFrame, cost: DataFrame | None = Non
     return r.select(F.col("src").alias("id"), (F.abs("r") / F.col("s")).alias("residual"))
 
 
-def propagate_labels(similarity: DataFrame, seeds: DataFrame, exact: int = EXACT, steps: int = STEPS, eps: float = 1e-10) -> DataFrame:
-    """(id, label, score): harmonic extension of seed labels (id, label), one solve per label, the label of highest score."""
-    got = local_matrix(similarity)
+def label_scores(similarity: DataFrame, seeds: DataFrame, exact: int = EXACT, steps: int = STEPS, eps: float = 1e-10, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, label, score): harmonic extension of seed labels (id, label), one solve per label; null where no seed is connected."""
+    got = local_matrix(similarity, local_edges)
+    spark = similarity.sparkSession
     if got is None:
-        raise ValueError("the graph is too large for label propagation in memory")
+        seeds, out = written(seeds.select("id", "label"), "seeds"), None
+        for (c,) in seeds.select("label").distinct().orderBy("label").collect():  # a solve per label
+            at = seeds.select("id", (F.col("label") == c).cast("double").alias("value"))
+            one = distributed(similarity.select("src", "dst", "w", F.lit(0.0).alias("c")), at, "cg", exact, steps, eps).select("id", F.lit(c).alias("label"), F.col("pt").alias("score"))
+            out = one if out is None else out.unionByName(one)
+        return out
     ids, i, j, w = got
     s = seeds.toPandas()
     s = s[s["id"].isin(ids)].sort_values("id")
     names, where = sorted(s["label"].unique()), np.searchsorted(ids, s["id"])
-    score = np.stack([_solve(i, j, w, len(ids), np.zeros(len(ids)), where, (s["label"] == c).to_numpy(float), "cg", exact, steps, eps)[0] for c in names], 1)
-    best = np.where(np.isnan(score), -1, np.round(score, 9)).argmax(1)
-    return similarity.sparkSession.createDataFrame(pa.table({"id": ids, "label": np.array(names, dtype=object)[best], "score": score[np.arange(len(ids)), best]}))
+    score = [_solve(i, j, w, len(ids), np.zeros(len(ids)), where, (s["label"] == c).to_numpy(float), "cg", exact, steps, eps)[0] for c in names]
+    flat = np.concatenate(score) if score else np.empty(0)
+    return spark.createDataFrame(pa.table({"id": np.tile(ids, len(names)), "label": pa.array(np.repeat(np.array(names, dtype=object), len(ids)), pa.string()), "score": pa.array(flat, mask=np.isnan(flat))}))
+
+
+def propagate_labels(similarity: DataFrame, seeds: DataFrame, **options) -> DataFrame:
+    """(id, label, score): the label of highest score, the first by name of those that agree to 9 digits."""
+    s = label_scores(similarity, seeds, **options)
+    best = F.struct(-F.coalesce(F.round("score", 9), F.lit(-1.0)), "label")
+    return s.groupBy("id").agg(F.min_by(F.struct("label", "score"), best).alias("r")).select("id", "r.*")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashrand import uniform
 from ..functions.ordered import numbered
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import with_scalars
@@ -23,10 +24,11 @@ KERNELS = {
     "expmr": ("row_max", lambda d, s: F.exp(-d / s)),
     "expmer": ("row_median", lambda d, s: F.exp(-d / s)),
     "expmer2": ("row_median", lambda d, s: F.exp(-d / (2 * s))),
-    "semr": ("row_max", lambda d, s: F.exp(-d * d / (s * s))),
+    "semr": ("row_max", lambda d, s: F.exp(-d * d / s)),
     "semer": ("row_median", lambda d, s: F.exp(-d * d / (s * s))),
     "semer0": ("row_median", lambda d, s: F.exp(-d / s)),
     "semer2": ("row_median", lambda d, s: F.exp(-d * d / (2 * s * s))),
+    "expsigma": ("sigma", lambda d, s: F.exp(-d / s)),
 }
 #: On symmetrised distances semer0 divides the squared distance.
 SYMMETRIC = {k: KERNELS[k] for k in ("expmr", "expmer", "expmer2", "semr", "semer", "semer2")} | {"semer0": ("row_median", lambda d, s: F.exp(-d * d / s))}
@@ -37,7 +39,8 @@ def distances(lists: DataFrame) -> DataFrame:
 
 
 def kernel(edges: DataFrame, name: str = "semer", epsilon: float | None = None, table: dict = KERNELS) -> DataFrame:
-    """Distances (src, dst, w) to similarities. A statistic of 0 gives 1 at distance 0 and 0 beyond it."""
+    """Distances (src, dst, w) to similarities. A statistic of 0 gives 1 at distance 0 and 0 beyond it; the statistic sigma is
+    bisected so that a list of n distances sums to log2(n)."""
     stat, f = table[name]
     w = Window.partitionBy("src")
     if epsilon is not None:
@@ -46,6 +49,10 @@ def kernel(edges: DataFrame, name: str = "semer", epsilon: float | None = None,
         edges = edges.withColumn("s", F.max("w").over(w))
     elif stat == "row_median":
         edges = edges.withColumn("s", F.percentile("w", 0.5).over(w))
+    elif stat == "sigma":
+        from .points import sigma
+
+        edges = edges.join(sigma(edges.select("src", F.col("w").alias("dist"))).withColumnRenamed("sigma", "s"), "src")
     elif stat == "max":
         edges = with_scalars(edges, edges.agg(F.max("w").alias("s")))
     else:
@@ -84,8 +91,16 @@ def with_diagonal(edges: DataFrame, value: float) -> DataFrame:
     return edges.where("src <> dst").unionByName(own)
 
 
+def similarity(lists: DataFrame, name: str = "semer", sym: str = "max", epsilon: float | None = None) -> DataFrame:
+    """Kernel of the listed distances, symmetrised by max, mean, prob or not (none); with "min" the distances are symmetrised
+    first (a missing side keeps the other) and each row of that ragged table gets its own kernel, which isn't symmetric."""
+    if sym == "min":
+        return kernel(symmetrize(distances(lists), "max"), name, epsilon, SYMMETRIC if name in SYMMETRIC else KERNELS)
+    return symmetrize(kernel(distances(lists), name, epsilon), sym)
+
+
 def transition_matrix(lists: DataFrame, name: str = "semer", sym: str = "max", diagonal: float | None = None, normalize: bool = True, epsilon: float | None = None) -> DataFrame:
-    k = symmetrize(kernel(distances(lists), name, epsilon), sym)
+    k = similarity(lists, name, sym, epsilon)
     k = k if diagonal is None else with_diagonal(k, diagonal)
     return row_normalize(k) if normalize else k
 
@@ -155,15 +170,19 @@ def local_matrix(edges: DataFrame, limit: int = LOCAL_EDGES):
     return ids, np.searchsorted(ids, s), np.searchsorted(ids, d), w
 
 
-def leading_eigenvectors(edges: DataFrame, count: int, steps: int = 120, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, values, vectors) of a symmetric edge table: dense up to 2000 rows, else block subspace iteration with a sparse
-    product; tables over LOCAL_EDGES edges are refused."""
+#: Rows up to which eigenvectors are found densely, and the residual |A v - lambda v| at which iterations stop.
+DENSE_ROWS, RESIDUAL = 2000, 1e-9
+
+
+def leading_eigenvectors(edges: DataFrame, count: int, steps: int = 5000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, values, vectors) of a symmetric edge table in memory: dense up to DENSE_ROWS rows, else block subspace iteration with
+    a sparse product until every residual is below RESIDUAL; an error after ``steps`` steps without that."""
     got = local_matrix(edges)
     if got is None:
-        raise ValueError(f"over {LOCAL_EDGES} edges: reduce the graph first")
+        raise ValueError(f"over {LOCAL_EDGES} edges: use table_eigenvectors")
     ids, i, j, w = got
     n = len(ids)
-    if n <= 2000:
+    if n <= DENSE_ROWS:
         a = np.zeros((n, n))
         np.add.at(a, (i, j), w)
         lam, v = np.linalg.eigh((a + a.T) / 2)
@@ -180,16 +199,58 @@ def leading_eigenvectors(edges: DataFrame, count: int, steps: int = 120, seed: i
         y[np.diff(np.r_[at, len(w)]) == 0] = 0
         return y
 
-    for _ in range(steps):
-        q = np.linalg.qr(times(q) + q)[0]  # shifted by 1, so that the largest and not the most negative value leads
-    lam, u = np.linalg.eigh(q.T @ times(q))
-    o = np.argsort(-lam)[:count]
-    return ids, lam[o], q @ u[:, o]
+    for step in range(steps):
+        y = times(q)
+        if step % 20 == 19:
+            lam, u = np.linalg.eigh(q.T @ y)
+            o = np.argsort(-lam)[:count]
+            if np.abs((y @ u - q @ u * lam)[:, o]).max() < RESIDUAL:
+                return ids, lam[o], q @ u[:, o]
+        q = np.linalg.qr(y + q)[0]  # shifted by 1, so that the largest and not the most negative value leads
+    raise ValueError(f"no eigenvectors after {steps} steps")
+
+
+def table_eigenvectors(edges: DataFrame, count: int, steps: int = 500, seed: int = 0, residual: float = 1e-6) -> tuple[np.ndarray, DataFrame]:
+    """Values, and (id, x) with the leading vectors' entries, of a symmetric edge table of any size: the same iteration with the
+    block as a table; only its small products with itself reach the driver."""
+    width, e = count + 8, written(edges.select("src", "dst", "w").repartition("src"), "matrix")
+    q = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", F.array(*[uniform(seed + i, "id") - 0.5 for i in range(width)]).alias("x"))
+
+    def outer(a: str, b: str) -> list:
+        return [F.sum(F.col(a)[i] * F.col(b)[j]) for i in range(width) for j in range(width)]
+
+    def turned(x: str, by: np.ndarray):
+        return F.array(*[sum((F.col(x)[i] * float(by[i, j]) for i in range(len(by))), F.lit(0.0)) for j in range(by.shape[1])])
+
+    def basis(t: DataFrame, x: str) -> np.ndarray:
+        return np.linalg.inv(np.linalg.cholesky(np.array(t.agg(*outer(x, x)).first(), float).reshape(width, width))).T
+
+    q = written(q, "block")
+    q = written(q.withColumn("x", turned("x", basis(q, "x"))), "block")
+    for step in range(steps):
+        both = written(q.join(sparse_times_vectors(e, q, width).withColumnRenamed("x", "y"), "id", "left").withColumn("y", F.coalesce("y", F.array(*[F.lit(0.0)] * width))), "product")
+        if step % 10 == 9:
+            m = np.array(both.agg(*outer("x", "y")).first(), float).reshape(width, width)
+            lam, u = np.linalg.eigh((m + m.T) / 2)
+            o = np.argsort(-lam)[:count]
+            lam, u = lam[o], u[:, o]
+            off = both.select(turned("x", u).alias("v"), turned("y", u).alias("av"))
+            worst = off.agg(F.max(F.greatest(*[F.abs(F.col("av")[i] - float(lam[i]) * F.col("v")[i]) for i in range(count)], F.lit(0.0)))).first()[0]
+            if worst is None or worst < residual:
+                return lam, both.select("id", turned("x", u).alias("x"))
+        moved = both.select("id", F.zip_with("x", "y", lambda a, b: a + b).alias("x"))
+        q = written(moved.withColumn("x", turned("x", basis(moved, "x"))), "block")
+    raise ValueError(f"no eigenvectors after {steps} steps")
 
 
 def diffusion_map(lists: DataFrame, axes: int = 2, t: float = 0.0, name: str = "semer", count: int | None = None) -> DataFrame:
     """(id, x): coordinates psi * lambda / (1 - lambda) for t <= 0, psi * lambda^t otherwise, psi = v / v1."""
-    ids, lam, v = leading_eigenvectors(laplacian(lists, name), count or axes + 1)
+    m = laplacian(lists, name)
+    if m.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
+        lam, v = table_eigenvectors(m, count or axes + 1)
+        scale = lam[1:] / (1 - lam[1:]) if t <= 0 else lam[1:] ** t
+        return v.select("id", F.array(*[F.col("x")[i + 1] / F.col("x")[0] * float(scale[i]) for i in range(axes)]).alias("x"))
+    ids, lam, v = leading_eigenvectors(m, count or axes + 1)
     psi = v / v[:, :1]
     scale = lam[1:] / (1 - lam[1:]) if t <= 0 else lam[1:] ** t
     x = (psi[:, 1:] * scale)[:, :axes]

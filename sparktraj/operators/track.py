@@ -51,6 +51,14 @@ def markers(walks: DataFrame, seg: DataFrame, points: DataFrame, dim: int) -> Da
     return both.select("segment", F.posexplode("x").alias("marker", "value"))
 
 
+def tracked(walks: DataFrame, seg: DataFrame, points: DataFrame, chosen: list[int]) -> DataFrame:
+    """One channel by walk (segment, walk_id, value, n), several as means over walks (segment, marker, value)."""
+    if len(chosen) == 1:
+        return marker_by_walk(walks, seg, points, chosen[0])
+    some = points.select("id", F.array(*[F.col("x")[i] for i in chosen]).alias("x"))
+    return markers(walks, seg, some, len(chosen)).withColumn("marker", F.element_at(F.array(*map(F.lit, chosen)), F.col("marker") + 1))
+
+
 def populations(walks: DataFrame, seg: DataFrame, labels: DataFrame, log2: bool = False) -> DataFrame:
     """(segment, label, n): distinct points of each label on the walks in a segment; log2 of it (null for none) if wanted."""
     on = walks.select(F.col("v").alias("id")).distinct()
@@ -62,8 +70,8 @@ def composition(seg: DataFrame, labels: DataFrame, proportions: bool = True) ->
     """(segment, label, value): counts of every label in every segment, zeros included, or shares of the segment."""
     rows = seg.join(labels.select("id", "label"), "id")
     counts = rows.groupBy("segment", "label").agg(F.count("*").alias("n"))
-    # labels times segments, both bounded by the display
-    grid = counts.select("segment").distinct().crossJoin(F.broadcast(counts.select("label").distinct()))
+    every = counts.agg(F.collect_set("label").alias("all"))  # the labels of a display
+    grid = with_scalars(counts.select("segment").distinct(), every).select("segment", F.explode("all").alias("label"))
     full = grid.join(counts, ["segment", "label"], "left").select("segment", "label", F.coalesce("n", F.lit(0)).alias("value"))
     return full.withColumn("value", F.col("value") / F.sum("value").over(Window.partitionBy("segment"))) if proportions else full
 

@@ -42,15 +42,26 @@ WEIGHT_SQL = {
     "expmr": "exp(-dist / s)",
     "expmer": "exp(-dist / s)",
     "expmer2": "exp(-dist / (2 * s))",
-    "semr": "exp(-dist * dist / (s * s))",
+    "semr": "exp(-dist * dist / s)",
     "semer": "exp(-dist * dist / (s * s))",
     "semer0": "exp(-dist / s)",
     "semer2": "exp(-dist * dist / (2 * s * s))",
+    "expsigma": "exp(-dist / s)",
 }
 
 
+def sigma_cte(lists: str, target: str = "log2(len(ds))") -> str:
+    """sig(src, s): the bisection of a list's width, 64 halvings at most."""
+    return f"""bis as (select src, ds, 0.0::double as lo, 'inf'::double as hi, 1.0::double as mid, 0 as i from (select src, list(dist) as ds from {lists} group by src)
+  union all select src, ds, case when s > t then lo else mid end, case when s > t then mid else hi end, case when s > t then (lo + mid) / 2 when hi = 'inf' then mid * 2 else (mid + hi) / 2 end, i + 1
+    from (select *, {target} as t, list_sum(list_transform(ds, lambda d: case when d > 0 then exp(-d / mid) else 1.0::double end)) as s from bis where i < 64) where abs(s - t) >= 1e-5),
+sig as (select src, arg_max(mid, i) as s from bis group by src)"""
+
+
 def kernel_cte(name: str, source: str = "knn", out: str = "ker", sym: bool = False) -> str:
     f = "exp(-dist * dist / s)" if sym and name == "semer0" else WEIGHT_SQL[name]
+    if name == "expsigma":
+        return sigma_cte(source) + f", {out} as (select src, dst, {f} as w from {source} join sig using (src))"
     return f"{out} as (select src, dst, {f} as w from (select *, {STAT_SQL[M.KERNELS[name][0]].format(e=source)} as s from {source}))"
 
 
@@ -72,6 +83,7 @@ QUERIES = {
     "sym_mean": edges_q(lambda n: M.symmetrize(M.distances(n), "mean")),
     "sym_prob": edges_q(lambda n: M.symmetrize(M.kernel(M.distances(n)), "prob")),
     "transition_matrix": edges_q(M.transition_matrix),
+    "transition_min": edges_q(lambda n: M.transition_matrix(n, sym="min")),
     "transition_diagonal": edges_q(lambda n: M.transition_matrix(n, diagonal=1.0, normalize=False)),
     "laplacian_sym": edges_q(M.laplacian),
 }
@@ -89,6 +101,7 @@ SQL = {
     "sym_mean": BASE + "u as (select src, dst, dist from knn union all select dst, src, dist from knn) select src, dst, round(sum(dist) / 2, 6) as w from u group by src, dst",
     "sym_prob": BASE + kernel_cte("semer") + ", q as (select src, dst, w / sum(w) over (partition by src) as p from ker), u as (select src, dst, sum(p) as p, sum(q) as q from (select src, dst, p, 0.0::double as q from q union all select dst, src, 0.0::double, p from q) group by all) select src, dst, round(p + q - p * q, 6) as w from u",
     "transition_matrix": SEMER + ", " + NORM + " select src, dst, round(w, 6) as w from p",
+    "transition_min": BASE + SYM + ", " + kernel_cte("semer", "sd") + " select src, dst, round(w / sum(w) over (partition by src), 6) as w from ker",
     "transition_diagonal": SEMER + " select src, dst, round(w, 6) as w from k union all select id, id, 1.0 from emb",
     "laplacian_sym": SEMER + ", f as (select * from k union all select id, id, 1.0 from emb), g as (select src, sum(w) as d from f group by src) select f.src, f.dst, round(f.w / sqrt(a.d * b.d), 6) as w from f join g a on a.src = f.src join g b on b.src = f.dst",
 }
@@ -101,11 +114,11 @@ for _k in M.SYMMETRIC:
 
 
 def forest_recall(s, d):
-    """(src, enough): whether the approximate lists hold at least 0.8 of each exact one."""
+    """(src, enough): whether the approximate lists, from leaves of 50 rows, hold at least 0.9 of each exact one."""
     p = t.embedding_cloud(s, d)
-    true, near = N.knn(p, KG), N.knn(p, KG, "forest", trees=30)
+    true, near = N.knn(p, KG), N.knn(p, KG, "forest", trees=60, leaf=50)
     hit = true.join(near.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").groupBy("src").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    return hit.select("src", (F.col("recall") >= 0.8).alias("enough"))
+    return hit.select("src", (F.col("recall") >= 0.9).alias("enough"))
 
 
 QUERIES["knn_forest_recall"] = forest_recall
@@ -174,11 +187,42 @@ for _name, _args in {"pseudotime_time_residual": (False,), "pseudotime_distance_
 
 
 def labels_propagated(s, d):
-    """Labels of the points nearest to their label's mean, spread over the graph: each point has one, with a score above 0."""
+    """Labels of the points nearest to their label's mean, spread over the graph, by evidence per point and label: a seed has 1 for
+    its label and 0 for others, any other point the weighted mean of its neighbours; the scores of a point sum to 1."""
+    from ..sources.shared import written
+
     e = t.embedding_cloud(s, d)
-    k = M.symmetrize(M.kernel(M.distances(emb_knn(s, d, KG))))
-    got = L.propagate_labels(k, P.set_origin(e, e.select("id", "label"), t.EMBEDDING_DIM))
-    return got.select("id", (F.col("score") > 0).alias("reached"))
+    k = written(M.symmetrize(M.kernel(M.distances(emb_knn(s, d, KG)))), "kernel")
+    seeds = written(P.set_origin(e, e.select("id", "label"), t.EMBEDDING_DIM), "seeds")
+    got = written(L.label_scores(k, seeds), "scores")
+    mean = k.join(got.select(F.col("id").alias("dst"), "label", "score"), "dst").groupBy(F.col("src").alias("id"), "label").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("mean"))
+    own = seeds.select("id", F.col("label").alias("own"))
+    both = got.join(mean, ["id", "label"]).join(own, "id", "left")
+    off = F.abs(F.col("score") - F.when(F.col("own").isNull(), F.col("mean")).otherwise((F.col("own") == F.col("label")).cast("double")))
+    rows = both.select("id", "label", F.when(off < 1e-7, 0.0).otherwise(F.round(off, 6)).alias("residual"))
+    return rows.join(got.groupBy("id").agg(F.round(F.sum("score"), 6).alias("total")), "id")
+
+
+def diffusion_coordinates(s, d):
+    """Evidence per point: each coordinate is carried by the row-normalised kernel into its multiple by the eigenvalue that the
+    scaling lambda / (1 - lambda) says, the coordinates being weighted by degree of length 1 before it."""
+    from ..sources.shared import written
+
+    n = written(emb_knn(s, d, KG), "knn")
+    x = written(M.diffusion_map(n), "map")
+    k = written(M.with_diagonal(M.symmetrize(M.kernel(M.distances(n))), 1.0), "kernel")
+    moved = M.sparse_times_vectors(M.row_normalize(k), x, 2).withColumnRenamed("x", "y").join(x, "id")
+    deg = k.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg"))
+    both = written(moved.join(deg, "id"), "moved")
+    total = both.agg(F.sum("deg")).first()[0]
+    out = both
+    for a in range(2):
+        xa, ya = F.col("x")[a], F.col("y")[a]
+        xx, xy = both.agg(F.sum(F.col("deg") * xa * xa), F.sum(F.col("deg") * xa * ya)).first()
+        lam = xy / xx
+        unit = xx / total * ((1 - lam) / lam) ** 2
+        out = out.withColumn(f"axis_{a}", (F.abs(ya - lam * xa) < 1e-6 * (xx / total) ** 0.5) & F.lit(abs(unit - 1) < 1e-6))
+    return out.select("id", "axis_0", "axis_1")
 
 
 def diffusion_residual(s, d):
@@ -195,10 +239,10 @@ def diffusion_residual(s, d):
 QUERIES |= {
     "label_propagation": labels_propagated,
     "diffusion_eigenpairs": diffusion_residual,
-    "diffusion_map": lambda s, d: M.diffusion_map(emb_knn(s, d, KG)).select("id", F.size("x").alias("axes")),
+    "diffusion_map": diffusion_coordinates,
 }
 SQL |= {
-    "label_propagation": "select vec_id as id, true as reached from embeddings",
+    "label_propagation": "select vec_id as id, l.label, 0.0::double as residual, 1.0::double as total from embeddings, (select distinct label::varchar as label from embeddings) l",
     "diffusion_eigenpairs": "select unnest([0, 1, 2])::int as axis, true as holds",
-    "diffusion_map": "select vec_id as id, 2 as axes from embeddings",
+    "diffusion_map": "select vec_id as id, true as axis_0, true as axis_1 from embeddings",
 }

@@ -7,12 +7,14 @@ from ..functions.hashrand import uniform, uniform_sql
 from ..functions.scalars import with_scalars
 from ..operators import flow as C
 from ..operators import knn as N
+from ..operators import sparse as M
 from ..operators import track as V
 from ..operators import walks as W
 from ..sources import tables as t
 from ..sources.shared import written
 from .clouds import MAIN, main_labels
-from .graphs import ORIENTED, oriented, origin_distance, r
+from .base import emb_knn
+from .graphs import KG, NORM, ORIENTED, ORIGIN_DIST, SEMER, oriented, origin_distance, r
 
 
 def steps(s, d):
@@ -42,7 +44,8 @@ def neighbour_edges(s, d):
 
 EDGES = "kne as (select src, dst, min(dist) as w from knn where src <> dst and dist is not null group by all)"
 WK = t.with_(t.WALKS)
-N_WALKS = 30
+#: Walks simulated, and those of them whose pairwise distances are taken.
+N_WALKS, N_PAIRED = 1000, 30
 #: Waypoints sampled over the graph, the origin included.
 WAYPOINTS = 500
 
@@ -51,8 +54,24 @@ def start(s, d):
     return t.embedding_cloud(s, d).agg(F.min("id")).first()[0]
 
 
-def simulated(s, d, **options):
-    return W.simulate(written(oriented(s, d), "oriented"), start(s, d), N_WALKS, 1, **options)
+def simulated(s, d, n=N_WALKS, **options):
+    return W.simulate(written(oriented(s, d), "oriented"), start(s, d), n, 1, **options)
+
+
+#: Of the tunnelling walks: the tolerance of each proposal.
+BETA = [0.5 * 0.9**i for i in range(1, 21)]
+
+
+def tunnelled(s, d):
+    """Over the transition matrix before it is oriented, so that steps back are proposed."""
+    k = M.transition_matrix(emb_knn(s, d, KG))
+    return W.tunnelling(written(k, "transition"), origin_distance(s, d), start(s, d), N_WALKS, BETA)
+
+
+def begun(s, d):
+    """(mc): the communities that walks begin in."""
+    first = t.walks(s, d).where("step = 1").select(F.col("v").alias("id")).distinct()
+    return t.clusters(s, d).join(first, "id", "left_semi").where("mc is not null").select("mc").distinct()
 
 
 def sampled_waypoints(s, d):
@@ -60,14 +79,10 @@ def sampled_waypoints(s, d):
     return t.embedding_cloud(s, d).select("id").orderBy(F.col("id") != start(s, d), uniform(5, "id"), "id").limit(WAYPOINTS)
 
 
-def first_fate(e):
-    return W.fates(e).orderBy("id").limit(1)
-
-
 SIM = ORIENTED + f""", cum as (select src, dst, w, sum(w) over (partition by src order by dst) as hi from ori),
 cu as (select src, dst, w, coalesce(lag(hi) over (partition by src order by dst), 0) as lo, case when row_number() over (partition by src order by dst desc) = 1 then 1.0 else hi end as hi from cum),
 sim as (select walk_id, 1 as step, (select min(id) from emb) as v, null::double as p from (select unnest(range(1, {N_WALKS + 1})) as walk_id)
-  union all select s.walk_id, s.step + 1, cu.dst, cu.w from sim s join cu on cu.src = s.v and {uniform_sql(1, 's.walk_id', 's.step')} >= cu.lo and {uniform_sql(1, 's.walk_id', 's.step')} < cu.hi)"""
+  union all select s.walk_id, s.step + 1, cu.dst, cu.w from (select *, {uniform_sql(1, 'walk_id', 'step')} as u from sim) s join cu on cu.src = s.v and s.u >= cu.lo and s.u < cu.hi)"""
 FATES = ORIENTED + ", fat as (select distinct dst as id from ori where dst not in (select src from ori))"
 ACYCLIC = """f as (select *, min(step) over (partition by walk_id, v) as fs, max(step) over (partition by walk_id, v) as ls from {src}),
 g as (select *, max(case when step = fs and ls > fs + 1 then ls end) over (partition by walk_id order by step rows between unbounded preceding and 1 preceding) as cut from f),
@@ -90,20 +105,20 @@ def gridded(s, d):
     e, pt = t.embedding_cloud(s, d), origin_distance(s, d)
     top = pt.agg(F.max("pt").alias("m"))
     pt = with_scalars(pt, top).select("id", (F.col("pt") / F.col("m")).alias("pt"))
-    return written(W.on_grid(simulated(s, d)[0], e.select("id", F.slice("x", 1, 3).alias("x")), pt, 21), "grid")
+    return written(W.on_grid(simulated(s, d, N_PAIRED)[0], e.select("id", "x"), pt), "grid")
 
 
-GRID = SIM + """, tm as (select id, pt / (select max(pt) from pt) as pt from pt), pp as (select walk_id, pt, arg_max(x, step) as x from (select sim.walk_id, sim.step, tm.pt, emb.x[1:3] as x from sim join tm on tm.id = sim.v join emb on emb.id = sim.v) group by all),
+GRID = SIM.replace(f"range(1, {N_WALKS + 1})", f"range(1, {N_PAIRED + 1})") + """, tm as (select id, pt / (select max(pt) from pt) as pt from pt), pp as (select walk_id, pt, arg_max(x, step) as x from (select sim.walk_id, sim.step, tm.pt, emb.x from sim join tm on tm.id = sim.v join emb on emb.id = sim.v) group by all),
 pl as (select *, lead(pt) over w as pt2, lead(x) over w as x2, row_number() over w as rn from pp window w as (partition by walk_id order by pt)),
-gr as (select walk_id, g, [case when pt2 is null or g / 20.0::double <= pt then x[i] else x[i] + (x2[i] - x[i]) * ((g / 20.0::double - pt) / (pt2 - pt)) end for i in [1, 2, 3]] as x
-  from pl, (select unnest(range(0, 21)) as g) where (rn = 1 or g / 20.0::double >= pt) and (pt2 is null or g / 20.0::double < pt2))"""
+gd as (select walk_id, g, c, case when pt2 is null or g / 100.0::double <= pt then x[c] else x[c] + (x2[c] - x[c]) * ((g / 100.0::double - pt) / (pt2 - pt)) end as v
+  from (select *, unnest(range(1, 65)) as c from pl, (select unnest(range(0, 101)) as g) where (rn = 1 or g / 100.0::double >= pt) and (pt2 is null or g / 100.0::double < pt2)))"""
 
 QUERIES = {
     "random_walks": lambda s, d: long(simulated(s, d)[0], "step"),
     "walk_stats": lambda s, d: r(simulated(s, d)[1], "gprob"),
     "random_walks_bounded": lambda s, d: long(simulated(s, d, most_steps=4)[0], "step"),
     "walks_to_fate": lambda s, d: _to_fate(s, d),
-    "tunnelling_walks": lambda s, d: W.tunnelling(written(oriented(s, d), "oriented"), origin_distance(s, d), start(s, d), N_WALKS, 6),
+    "tunnelling_walks": lambda s, d: long(tunnelled(s, d), "step"),
     "fates": lambda s, d: W.fates(oriented(s, d)),
     "ancestors": lambda s, d: _ancestors(s, d),
     "reachability": lambda s, d: _reachability(s, d),
@@ -117,7 +132,9 @@ QUERIES = {
     "walk_neighbourhood": lambda s, d: W.neighbourhood(steps(s, d), neighbour_edges(s, d), 1.2),
     "path_kmers": lambda s, d: W.kmers(steps(s, d), 3).select("walk_id", "step", F.array_join(F.transform("kmer", lambda v: v.cast("string")), ",").alias("kmer")),
     "similar_kmers": lambda s, d: _similar(s, d),
-    "path_grid": lambda s, d: gridded(s, d).select("walk_id", "g", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[2], 6).alias("x2")),
+    "covered_kmers": lambda s, d: _kmer_pairs(W.covered_kmers(W.kmers(steps(s, d), 2), neighbour_edges(s, d))),
+    "kmer_nodes": lambda s, d: W.kmer_nodes(W.kmers(steps(s, d), 2), neighbour_edges(s, d)).select(F.col("kmer")[0].alias("a"), F.col("kmer")[1].alias("b")),
+    "path_grid": lambda s, d: gridded(s, d).select("walk_id", "g", F.posexplode("x").alias("dim", "x")).withColumn("x", F.round("x", 6)),
     "resample_walks": lambda s, d: W.resample(steps(s, d), t.cloud(s, d), 1.0).groupBy("walk_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x")[0]) + TIE, 6).alias("x0")),
     "consensus_path": lambda s, d: _consensus(s, d),
     "connectome_counts": lambda s, d: C.transitions(steps(s, d), t.clusters(s, d)),
@@ -125,7 +142,7 @@ QUERIES = {
     "connectome_major": lambda s, d: C.major(C.transitions(steps(s, d), t.clusters(s, d))),
     "connectome_hard_terminus": lambda s, d: C.major(C.transitions(steps(s, d), t.clusters(s, d)), True),
     "connectome_edges": lambda s, d: r(C.flow_edges(written(C.transitions(steps(s, d), t.clusters(s, d)), "counts"), "max", 0.5), "weight", "width"),
-    "connectome_edges_adaptive": lambda s, d: r(C.flow_edges(written(C.transitions(steps(s, d), t.clusters(s, d)), "counts"), "adaptive"), "weight").select("a", "b", "n", "weight"),
+    "connectome_edges_adaptive": lambda s, d: r(C.flow_edges(written(C.transitions(steps(s, d), t.clusters(s, d)), "counts"), "adaptive", origins=begun(s, d)), "weight").select("a", "b", "n", "weight"),
     "connectome_edges_mean": lambda s, d: r(C.flow_edges(written(C.transitions(steps(s, d), t.clusters(s, d)), "counts"), "mean"), "weight").select("a", "b", "n", "weight"),
     "connectome_positions": lambda s, d: C.node_positions(t.cloud(s, d), t.clusters(s, d)).select("mc", F.round(F.col("x")[0] + TIE, 6).alias("x"), F.round(F.col("x")[1] + TIE, 6).alias("y")),
     "connectome_labels": lambda s, d: r(C.node_labels(t.clusters(s, d), main_labels(s, d)), "share"),
@@ -133,27 +150,39 @@ QUERIES = {
 }
 for _m in ("max", "sum", "euclid", "abs_sum"):
     QUERIES[f"path_distance_{_m}"] = lambda s, d, _m=_m: r(W.path_distances(gridded(s, d), _m), "dist")
-DIST_SQL = {"max": "max(sqrt(d2))", "sum": "sum(sqrt(d2))", "euclid": "sqrt(sum(d2))", "abs_sum": "abs(sum(raw))"}
+for _m in ("max", "abs_sum"):
+    QUERIES[f"path_distance_{_m}_end"] = lambda s, d, _m=_m: r(W.path_distances(gridded(s, d), _m, 0.5), "dist")
+#: The metric over all coordinate differences, and over those of the last position.
+DIST_SQL = {
+    "max": ("max(abs(df))", "max(abs(df)) filter (where g = 100)"),
+    "sum": ("sum(abs(df))", "sum(abs(df)) filter (where g = 100)"),
+    "euclid": ("sqrt(sum(df * df))", "sqrt(sum(df * df) filter (where g = 100))"),
+    "abs_sum": ("abs(sum(df))", "sqrt(sum(df * df) filter (where g = 100))"),
+}
+#: cov: pairs of vertices (a0, a1) that lie, as a set of two, among (b0, b1) and the neighbours of these.
+COVER = t.with_(t.WALKS, EDGES) + """, km as (select distinct a, b from (select v as a, lead(v) over (partition by walk_id order by step) as b from wlk) where b is not null),
+st as (select src, dst from kne union select v, v from wlk), nb as (select distinct km.a, km.b, st.dst as n from km join st on st.src = km.a union select km.a, km.b, st.dst from km join st on st.src = km.b),
+cov as (select p.a as a0, p.b as a1, x.a as b0, x.b as b1 from km p join nb x on x.n = p.a join nb y on y.a = x.a and y.b = x.b and y.n = p.b where p.a <> p.b and (p.a <> x.a or p.b <> x.b))"""
 SQL = {
     "random_walks": SIM + " select walk_id, step::bigint as step, v from sim",
     "walk_stats": SIM + " select walk_id, count(*) as len, round(exp(avg(ln(p))), 6) as gprob from sim group by walk_id",
     "random_walks_bounded": SIM + " select walk_id, step::bigint as step, v from sim where step <= 4",
     "fates": FATES + " select id from fat",
-    "ancestors": FATES + ", anc as (select min(id) as id from fat union select src from anc join ori on ori.dst = anc.id) select id from anc",
-    "reachability": FATES + ", way as (select id from bn where t <= 20 or id in (select id from fat)), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select s as src, v as dst from rch where v in (select id from way) and s <> v",
-    "reachability_sampled": ORIENTED + f", way as (select id from emb order by id <> (select min(id) from emb), {uniform_sql(5, 'id')}, id limit {WAYPOINTS}), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select s as src, v as dst from rch where v in (select id from way) and s <> v",
+    "ancestors": FATES + ", anc as (select id as fate, id from fat union select fate, src from anc join ori on ori.dst = anc.id) select fate, id from anc",
+    "reachability": FATES + ", way as (select id from bn where t <= 20 or id in (select id from fat)), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select distinct least(s, v) as a, greatest(s, v) as b from rch where v in (select id from way) and s <> v",
+    "reachability_sampled": ORIENTED + f", way as (select id from emb order by id <> (select min(id) from emb), {uniform_sql(5, 'id')}, id limit {WAYPOINTS}), rch as (select id as s, id as v from way union select s, dst from rch join ori on ori.src = rch.v) select distinct least(s, v) as a, greatest(s, v) as b from rch where v in (select id from way) and s <> v",
     "contract_walks": t.with_(t.WALKS, t.CLUSTERS, CONTRACT) + " select * from ctr",
     "contract_acyclic": t.with_(t.WALKS, t.CLUSTERS, CONTRACT, ACYCLIC.format(src="ctr")) + " select * from acy",
     "remove_cycles": t.with_(t.WALKS, "wl as (select walk_id, step, v from wlk)", ACYCLIC.format(src="wl")) + " select * from acy",
     "walk_termini": WK + " select walk_id, arg_max(v, step) as v from wlk group by walk_id",
     "add_terminus": WK + f", e as (select {TOP} as e), n as (select walk_id, max(step) + 1 as step, e as v from wlk, e group by walk_id, e having arg_max(v, step) <> e) select walk_id, step, v from wlk union all select walk_id, step, v from n",
     "select_walks": WK + " select walk_id, step, v from wlk where walk_id in (select walk_id from wlk group by walk_id having count(*) >= 50)",
-    "walk_neighbourhood": t.with_(t.WALKS, PAIRS, EDGES) + """, e as (select walk_id, pr.src, pr.dst, w from pr join kne using (src, dst)), b as (select walk_id, v, avg(w) * 1.2 as most from (select walk_id, src as v, w from e union all select walk_id, dst, w from e) group by all)
-select distinct walk_id, dst as id from b join kne on kne.src = b.v where w <= most""",
+    "walk_neighbourhood": t.with_(t.WALKS, PAIRS, EDGES) + """, e as (select walk_id, step, pr.src, pr.dst, w from pr join kne using (src, dst)), b as (select walk_id, step, v, avg(w) * 1.2 as most from (select walk_id, step, src as v, w from e union all select walk_id, step + 1, dst, w from e) group by all)
+select walk_id, dst as id from b join kne on kne.src = b.v where w <= most union select walk_id, v from wlk""",
     "path_kmers": WK + " select walk_id, step, kmer from (select walk_id, step, v::varchar || ',' || lead(v) over w::varchar || ',' || lead(v, 2) over w::varchar as kmer from wlk window w as (partition by walk_id order by step)) where kmer is not null",
-    "similar_kmers": t.with_(t.WALKS, EDGES) + """, km as (select distinct a, b from (select v as a, lead(v) over (partition by walk_id order by step) as b from wlk) where b is not null), st as (select src, dst from kne union select v, v from wlk)
-select p.a as a0, p.b as a1, q.a as b0, q.b as b1 from km p join st x on x.src = p.a join km q on q.a = x.dst join st y on y.src = p.b and y.dst = q.b where (p.a, p.b) < (q.a, q.b)""",
-    "path_grid": GRID + " select walk_id, g, round(x[1], 6) as x0, round(x[3], 6) as x2 from gr",
+    "similar_kmers": COVER + " select distinct least(p, q)[1] as a0, least(p, q)[2] as a1, greatest(p, q)[1] as b0, greatest(p, q)[2] as b1 from (select [a0, a1] as p, [b0, b1] as q from cov)",
+    "covered_kmers": COVER + " select * from cov",
+    "path_grid": GRID + " select walk_id, g, (c - 1)::int as dim, round(v, 6) as x from gd",
     "resample_walks": t.with_(t.WALKS, t.CLOUD) + """, p as (select walk_id, step, x, lead(x) over (partition by walk_id order by step) as x2 from wlk join pts on pts.id = wlk.v),
 c as (select *, case when x2 is null then 1 else greatest(1, round(list_distance(x, x2))::int) end as parts from p), e as (select *, unnest(range(0, parts)) as k from c)
 select walk_id, count(*) as n, round(sum(case when x2 is null then x[1] else x[1] + (x2[1] - x[1]) * k / parts end) + 3.3e-10, 6) as x0 from e group by walk_id""",
@@ -166,27 +195,31 @@ SQL |= {
     "connectome_balance": CNT + " select mc, ins::bigint as ins, outs::bigint as outs, round(ratio, 6) as ratio from bal",
     "connectome_major": CNT + " select * from maj",
     "connectome_hard_terminus": CNT + ", h as (select * from cnt where a not in (select mc from bal where ratio < 1)) select c.a, c.b, c.n from h c left join h d on d.a = c.b and d.b = c.a where d.n is null or c.n > d.n or (c.n = d.n and c.a < c.b)",
-    "connectome_edges": CNT + ", e as (select *, n::double / (select max(n) from maj) as weight from maj), q as (select quantile_cont(weight, 0.5) as q from e) select a, b, n, round(weight, 6) as weight, round(pow(weight, 1.2::double) * 19 + case when weight > q then 7 else 0 end, 6) as width, weight >= q as arrow from e, q",
-    "connectome_edges_adaptive": CNT + " select a, b, n, round(n::double / greatest(ins, outs), 6) as weight from maj join bal on bal.mc = maj.a",
-    "connectome_edges_mean": CNT + " select a, b, n, round(n::double / (select avg((ins + outs) / 2.0::double) from bal), 6) as weight from maj",
+    # one scale for all: the largest half of ins and outs of any community
+    "connectome_edges": CNT + ", e as (select *, pow(weight, 1.2::double) * 19 as width from (select *, n / (select max((ins + outs) / 2.0::double) from bal) as weight from maj)), q as (select quantile_cont(width, 0.5) as q from e) select a, b, n, round(weight, 6) as weight, round(width + case when width > q then 7 else 0 end, 6) as width, not width < q as arrow from e, q",
+    # by the community left: outs of an origin, ins of a terminus, half of both for others
+    "connectome_edges_adaptive": CNT + ", o as (select distinct mc from clu where mc is not null and id in (select v from wlk where step = 1)) select a, b, n, round(n / case when a in (select mc from o) then outs when ratio < 1 then ins else (ins + outs) / 2.0::double end, 6) as weight from maj join bal on bal.mc = maj.a",
+    "connectome_edges_mean": CNT + " select a, b, n, round(n / ((ins + outs) / 2.0::double), 6) as weight from maj join bal on bal.mc = maj.a",
     "connectome_positions": t.with_(t.CLOUD, t.CLUSTERS) + " select mc, round(avg(x[1]) + 3.3e-10, 6) as x, round(avg(x[2]) + 3.3e-10, 6) as y from pts join clu using (id) where mc is not null group by mc",
     "connectome_labels": t.with_(t.LABELS, t.CLUSTERS, MAIN) + ", h as (select mc, label, count(*) as n from clu join ml using (id) where mc is not null and label <> 'ungated' group by all) select mc, label, n, round(n::double / sum(n) over (partition by mc), 6) as share from h",
     "connectome_tags": CNT + ", o as (select distinct mc from clu where id in (select v from wlk where step = 1)) select mc, ratio < 1 as terminus, mc in (select mc from o where mc is not null) as origin from bal",
 }
 for _m, _f in DIST_SQL.items():
-    SQL[f"path_distance_{_m}"] = GRID + f", pd as (select a.walk_id as a, b.walk_id as b, pow(list_distance(a.x, b.x), 2) as d2, a.x[1] - b.x[1] + a.x[2] - b.x[2] + a.x[3] - b.x[3] as raw from gr a join gr b on a.g = b.g and a.walk_id < b.walk_id) select a, b, round({_f}, 6) as dist from pd group by a, b"
+    _pd = ", pd as (select a.walk_id as a, b.walk_id as b, a.g, a.v - b.v as df from gd a join gd b on a.g = b.g and a.c = b.c and a.walk_id < b.walk_id)"
+    SQL[f"path_distance_{_m}"] = GRID + _pd + f" select a, b, round({_f[0]}, 6) as dist from pd group by a, b"
+    if f"path_distance_{_m}_end" in QUERIES:
+        SQL[f"path_distance_{_m}_end"] = GRID + _pd + f" select a, b, round({_f[0]} + 0.5::double * {_f[1]}, 6) as dist from pd group by a, b"
 
 
 def _to_fate(s, d):
-    """Every walk simulated towards the first fate ends there."""
+    """Walks simulated towards every fate, N_PAIRED for each."""
     e = written(oriented(s, d), "oriented")
-    f = first_fate(e).first()["id"]
-    return W.termini(W.walks_to(e, start(s, d), f, N_WALKS)).withColumn("fate", F.lit(f))
+    return long(W.walks_to(e, start(s, d), W.fates(e), N_PAIRED)[0], "step")
 
 
 def _ancestors(s, d):
     e = written(oriented(s, d), "oriented")
-    return W.ancestors(e, first_fate(e))
+    return W.ancestors_of(e, W.fates(e))
 
 
 def _reachability(s, d):
@@ -203,15 +236,20 @@ def _terminus(s, d):
 
 
 def _similar(s, d):
-    k = W.similar_kmers(W.kmers(steps(s, d), 2), neighbour_edges(s, d))
+    return _kmer_pairs(W.similar_kmers(W.kmers(steps(s, d), 2), neighbour_edges(s, d)))
+
+
+def _kmer_pairs(k):
     return k.select(F.col("a")[0].alias("a0"), F.col("a")[1].alias("a1"), F.col("b")[0].alias("b0"), F.col("b")[1].alias("b1"))
 
 
 def _consensus(s, d):
+    """Of every terminus's consensus path the number of positions, and its two ends, where a spline passes through its points."""
     w = simulated(s, d)[0]
     p = W.path_points(w, t.embedding_cloud(s, d))
     classes = W.termini(w).select("walk_id", F.col("v").alias("class"))
-    return W.consensus(p, classes, 64, 20).select("class", "step", F.size("x").alias("dims"))
+    c = W.consensus(p, classes, 64).groupBy("class").agg(F.count("*").alias("positions"), F.min_by("x", "step").alias("p"), F.max_by("x", "step").alias("q"))
+    return c.select("class", "positions", *[F.round(F.col(e)[i], 6).alias(f"{e}{i}") for e in "pq" for i in (0, 63)])
 
 
 # ---- trackers
@@ -300,5 +338,20 @@ SQL |= {
     "label_order": S10 + ", m as (select label, avg(pt) as mean from t1 join ml using (id) group by label) select label, round(mean + 3.3e-10, 6) as mean, row_number() over (order by mean, label)::int as rank from m",
     "highlight": S10 + " select id from t1 where pt between 0.2 and 0.6 and id in (select v from w1)",
     "marked_walks": WK + ", n as (select walk_id, count(*) as n from wlk group by walk_id) select 1 as batch, walk_id from n where n >= 60 union all select 2, walk_id from n where n between 60 and 99 or n <= 5",
-    "walks_to_fate": FATES + f" select unnest(range(1, {N_WALKS + 1})) as walk_id, (select min(id) from fat) as v, (select min(id) from fat) as fate",
+    "walks_to_fate": FATES + f""", anc as (select id as fate, id from fat union select fate, src from anc join ori on ori.dst = anc.id), og as (select min(id) as o from emb),
+rf as (select fate, row_number() over (order by fate) as k from anc join og on id = o), fe as (select a.fate, src, dst, w from ori join anc a on a.id = src join anc b on b.fate = a.fate and b.id = dst where a.fate in (select fate from rf)),
+fc as (select *, sum(w) over (partition by fate, src order by dst) / sum(w) over (partition by fate, src) as hi from fe),
+fi as (select fate, src, dst, coalesce(lag(hi) over (partition by fate, src order by dst), 0) as lo, case when row_number() over (partition by fate, src order by dst desc) = 1 then 1.0 else hi end as hi from fc),
+fs as (select fate, (k - 1) * {N_PAIRED} + i as walk_id, 1 as step, o as v from rf, og, (select unnest(range(1, {N_PAIRED + 1})) as i)
+  union all select s.fate, s.walk_id, s.step + 1, fi.dst from (select *, {uniform_sql(1, 'walk_id', 'step')} as u from fs) s join fi on fi.fate = s.fate and fi.src = s.v and s.u >= fi.lo and s.u < fi.hi)
+select fate, walk_id, step::bigint as step, v from fs""",
+    "tunnelling_walks": SEMER + ", " + NORM + ", " + ORIGIN_DIST + f""", cum as (select src, dst, w, sum(w) over (partition by src order by dst) / sum(w) over (partition by src) as hi from p),
+cu as (select src, dst, coalesce(lag(hi) over (partition by src order by dst), 0) as lo, case when row_number() over (partition by src order by dst desc) = 1 then 1.0 else hi end as hi from cum),
+tun as (select walk_id, 1 as i, 1 as step, id as v, pt as t, 0.0::double as m, true as moved from pt, (select unnest(range(1, {N_WALKS + 1})) as walk_id) where id = (select min(id) from emb)
+  union all select walk_id, i + 1, step + take::int, case when take then dst else v end, case when take then tt else t end, top, take from (select *,
+    tt >= t or exp(-((1 - exp(-(top - tt))) - (1 - exp(-(top - t)))) / (0.5 * pow(0.9::double, i))) > {uniform_sql(2, 'walk_id', 'i')} as take
+    from (select tun.*, cu.dst, q.pt as tt, greatest(m, q.pt) as top from (select *, {uniform_sql(1, 'walk_id', 'i')} as u from tun where i <= {len(BETA)}) tun join cu on cu.src = tun.v and tun.u >= cu.lo and tun.u < cu.hi join pt q on q.id = cu.dst)))
+select walk_id, step::bigint as step, v from tun where moved""",
+    "consensus_path": SIM + """, en as (select walk_id, arg_max(v, step) as class, count(*) as n from sim group by walk_id), c as (select class, 3 * max(n) as positions from en group by class)
+select class, positions, round(a.x[1], 6) as p0, round(a.x[64], 6) as p63, round(b.x[1], 6) as q0, round(b.x[64], 6) as q63 from c join emb b on b.id = class, emb a where a.id = (select min(id) from emb)""",
 }

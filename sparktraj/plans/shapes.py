@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from ..functions.scalars import with_scalars
 from ..operators import cluster as C
 from ..operators import complexes as X
@@ -19,7 +20,7 @@ from ..sources import tables as t
 from ..sources.shared import written
 from .base import emb_knn, knn_sql
 from .graphs import KG, SYM, r
-from .sequences import N_WALKS, oriented, simulated
+from .sequences import ACYCLIC, CONTRACT, N_WALKS, SIM, oriented, simulated
 
 LANDMARKS, KW, ALPHA, REACH = 16, 8, 0.02, 0.16
 #: Of the whole complexes: a landmark in so many ids, and landmarks in a list.
@@ -114,7 +115,10 @@ QUERIES = {
     "reduced_lower_bound": lambda s, d: _bounded(s, d),
     "betti_0": lambda s, d: _betti(s, d),
     "euler_characteristic": lambda s, d: _euler(s, d),
-    "persistence_pairs": lambda s, d: _pairs(s, d).select("dim", "birth_idx", "death_idx", (F.col("birth") <= F.col("death")).alias("ordered")),
+    "persistence_pairs": lambda s, d: _merges(s, d),
+    "strong_witness_complex": lambda s, d: r(verts(X.strong_witness(lists(s, d, landmarks(s, d)), ALPHA)), "value"),
+    "strong_witness_cliques": lambda s, d: _strong_cliques(s, d),
+    "grid_complex": lambda s, d: _grid_complex(s, d),
     "persistence_diagram": lambda s, d: _diagram(s, d),
     "walk_cycles": lambda s, d: _cycles(s, d),
     "walk_classes": lambda s, d: _classes(s, d),
@@ -151,7 +155,7 @@ SQL = {
     "relative_filtration": WIT + ", md as (select median(v) as m from vt) select v::varchar as verts from vt, md where v <= m union all select a || ',' || b from ed, md where b <= m union all select a || ',' || b || ',' || c from tr, md where c <= m",
     "reindexed_complex": WIT + ", nm as (select id as v, dense_rank() over (order by id) as n from lm) select n::varchar as verts from vt join nm using (v) union all select p.n || ',' || q.n from ed join nm p on p.v = a join nm q on q.v = b union all select p.n || ',' || q.n || ',' || s.n from tr join nm p on p.v = a join nm q on q.v = b join nm s on s.v = c",
     "reduced_columns": ALPHAV + " select row_number() over (order by 1) - 1 as sidx, true as holds from sx",
-    "euler_characteristic": WIT + " select ((select count(*) from vt) - (select count(*) from ed) + (select count(*) from tr))::bigint as euler, true as agrees",
+    "euler_characteristic": WIT + ", cc as (select v, v as r from vt union select case when cc.v = ed.a then ed.b else ed.a end, cc.r from cc join ed on cc.v in (ed.a, ed.b)), b as (select count(distinct r) as b from (select v, min(r) as r from cc group by v)), e as (select (select count(*) from vt) - (select count(*) from ed) + (select count(*) from tr) as e) select e::bigint as euler, b::bigint as betti_0, (b - e)::bigint as betti_1_less_2 from b, e",
     "kmeans_assignment": t.with_(t.EMB) + " select id, true as holds from emb",
     "kmeans_centres": "select true as holds",
     "given_clusters": t.with_(t.CLOUD, t.CLUSTERS) + ", u as (select id, dense_rank() over (order by cluster) as c from clu where cluster is not null) select c as cluster, count(*) as n, round(avg(x[1]) + 3.3e-10, 6) as x from u join pts using (id) group by c",
@@ -163,6 +167,25 @@ SQL = {
 fc as (select q, a as u, b as v from q3 union all select q, a, c from q3 union all select q, b, c from q3), ln as (select distinct f.q as p, g.q as q from fc f join fc g on f.u = g.u and f.v = g.v), rc as (select q, q as r from q3 union select ln.q, rc.r from rc join ln on ln.p = rc.q),
 rt as (select q, min(r) as r from rc group by q), mm as (select distinct r, unnest([a, b, c]) as id from q3 join rt using (q)) select min(id) over (partition by r) as least, count(*) over (partition by r) as size, id from mm""",
 }
+EDGE_VALUES = ALPHAV + ", ev as (select gb.a, gb.b, case when near * near >= h * (1 - 1e-9) then h else coalesce(up, h) end as value from gb left join cf using (a, b)), es as (select *, row_number() over (order by value, a, b) as k from ev)"
+STRONG = WIT + f""", nr as (select w, l as v, dist - d1 as o from wd where dist - d1 < {ALPHA}), s1 as (select v, min(o) as value from nr group by v),
+p2 as (select p.w, p.v as a, q.v as b, greatest(p.o, q.o) as o from nr p join nr q on p.w = q.w and p.v < q.v), s2 as (select a, b, min(o) as value from p2 group by a, b)"""
+#: A 4 x 3 grid whose units are the first twelve embeddings; edges within the fifth smallest city-block distance from the corner.
+GRID_UNITS = t.with_(t.EMB, "e3 as (select id, x[1:3] as x from emb)", "lm as (select row_number() over (order by id) as id, x from e3 order by id limit 12)", """u as (select id as u, (id - 1) % 4 as x, (id - 1) // 4 as y from lm), th as (select list_sort(list(x + y))[5] as th from u),
+vt as (select id as v from lm), ed as (select p.u as a, q.u as b from u p join u q on p.u < q.u, th where abs(p.x - q.x) + abs(p.y - q.y) <= th), tr as (select x.a, x.b, y.b as c from ed x join ed y on y.a = x.a and x.b < y.b join ed z on z.a = x.b and z.b = y.b)""")
+SQL |= {
+    # an edge merges two components if those of its ends by earlier edges differ; the younger one, of larger least vertex, ends
+    "persistence_pairs": EDGE_VALUES + """, cc as (select k, 1 as side, a as v from es union select k, 2, b from es union select cc.k, side, case when es.a = cc.v then es.b else es.a end from cc join es on es.k < cc.k and cc.v in (es.a, es.b)),
+mn as (select k, min(v) filter (where side = 1) as p, min(v) filter (where side = 2) as q from cc group by k) select greatest(p, q) as born, a || ',' || b as merged_by, round(value, 6) as death from es join mn using (k) where p <> q""",
+    "strong_witness_complex": STRONG + ", s3 as (select a, b, v as c, min(greatest(p2.o, nr.o)) as value from p2 join nr on nr.w = p2.w and nr.v > p2.b group by 1, 2, 3) select v::varchar as verts, round(value, 6) as value from s1 union all select a || ',' || b, round(value, 6) from s2 union all select a || ',' || b || ',' || c, round(value, 6) from s3",
+    "strong_witness_cliques": STRONG + " select v::varchar as verts, round(value, 6) as value from s1 union all select a || ',' || b, round(value, 6) from s2 union all select x.a || ',' || x.b || ',' || y.b, round(greatest(x.value, y.value, z.value), 6) from s2 x join s2 y on y.a = x.a and x.b < y.b join s2 z on z.a = x.b and z.b = y.b",
+    "grid_complex": GRID_UNITS + ALPHAV[len(WIT):] + " select verts, dim, round(value, 6) as value from sx",
+}
+#: Walks over the embeddings at their nearest landmarks, contracted, without cycles, led to the most frequent end.
+LANDMARK_WALKS = SIM + ",\n" + WIT.split(t.EMB + ",\n", 1)[1] + ", clu as (select w as id, l as cluster from wl where rnk = 1), wlk as (select walk_id, step, v from sim), " + CONTRACT + ", " + ACYCLIC.format(src="ctr") + """,
+ls as (select walk_id, arg_max(v, step) as v, max(step) as step from acy group by walk_id), tp as (select v as e from ls group by v order by count(*) desc, v limit 1),
+endd as (select walk_id, step, v from acy union all select walk_id, step + 1, e from ls, tp where v <> e)"""
+SQL["index_path_edges"] = LANDMARK_WALKS + ", ep as (select * from (select walk_id, step, v as src, lead(v) over (partition by walk_id order by step) as dst from endd) where dst is not null) select walk_id, count(*) as steps from ep join ed on ed.a = least(src, dst) and ed.b = greatest(src, dst) group by walk_id"
 SQL["filtration_union"] = BASE + RIPS[len(BASE):] + ", " + WIT[len(BASE):] + ", al as (select id::varchar as verts from lm union select a || ',' || b from re union select a || ',' || b || ',' || c from rt union select v::varchar from vt union select a || ',' || b from ed union select a || ',' || b || ',' || c from tr) select verts from al"
 WHOLE = t.with_(t.EMB) + f""", lm as (select id, x from emb where id % {SHARE} = 0),
 wl as (select * from (select p.id as w, l.id as l, list_distance(p.x, l.x) as dist, row_number() over (partition by p.id order by list_distance(p.x, l.x), l.id) as rnk from emb p, lm l) where rnk <= {KWHOLE}),
@@ -260,18 +283,41 @@ def _betti(s, d):
 
 
 def _euler(s, d):
-    """V - E + T, and whether it is the alternating sum of the Betti numbers."""
+    """V - E + T, and of the reduction the components and how many more loops than voids there are."""
     _, f, _, red = _reduction(s, d)
     n = {row["dim"]: row["count"] for row in f.groupBy("dim").count().collect()}  # three rows
     k = {row["dim"]: row["count"] for row in red.groupBy("dim").count().collect()}
     b = {i: n.get(i, 0) - k.get(i - 1, 0) - k.get(i, 0) for i in range(3)}
     euler = n.get(0, 0) - n.get(1, 0) + n.get(2, 0)
-    return s.createDataFrame([(euler, euler == b[0] - b[1] + b[2])], "euler long, agrees boolean")
+    return s.createDataFrame([(euler, b[0], b[1] - b[2])], "euler long, betti_0 long, betti_1_less_2 long")
 
 
 def _pairs(s, d):
+    """Classes of positive dimension, essential ones among them."""
+    _, f, _, red = _reduction(s, d)
+    return G.with_essential(G.pairs_of(red, f).where("dim > 0"), G.essential(red, f).where("dim > 0"))
+
+
+def _merges(s, d):
+    """The finite classes of dimension 0, by the vertex that began them and the edge that ended them."""
     _, f, _, red = _reduction(s, d)
-    return G.with_essential(G.pairs_of(red, f), G.essential(red, f))
+    p = G.pairs_of(red, f, zero=True).where("dim = 0")
+    n = f.select("sidx", "verts")
+    p = p.join(n.select(F.col("sidx").alias("birth_idx"), F.col("verts")[0].alias("born")), "birth_idx").join(verts(n).select(F.col("sidx").alias("death_idx"), F.col("verts").alias("merged_by")), "death_idx")
+    return r(p.select("born", "merged_by", "death"), "death")
+
+
+def _strong_cliques(s, d):
+    c = written(X.strong_witness(lists(s, d, landmarks(s, d)), ALPHA), "strong")
+    v = c.where(F.size("verts") == 1).select(F.col("verts")[0].alias("v"), "value")
+    e = c.where(F.size("verts") == 2).select(F.col("verts")[0].alias("a"), F.col("verts")[1].alias("b"), "value")
+    return r(verts(X.clique_complex(v, e)), "value")
+
+
+def _grid_complex(s, d):
+    first = cloud3(s, d).orderBy("id").limit(12)
+    codes = numbered(first, [], [F.col("id")], "cluster").select("cluster", "x")
+    return r(verts(C.grid_complex(codes, 4, 3, 4)).select("verts", "dim", "value"), "value")
 
 
 def _diagram(s, d):
@@ -317,7 +363,11 @@ def _tree(s, d):
     f, red, c = _represented(s, d)
     death = {row["death_idx"]: row["death"] for row in G.pairs_of(red, f).where("dim = 1").collect()}  # classes of the complex
     death |= {row["c"]: float("inf") for row in c.select(F.explode("classes").alias("c")).where("c < 0").distinct().collect()}
-    return G.dendrogram(G.restrict(c, s.createDataFrame([(k,) for k in death], "c int")), death).select("walk_id", F.col("leaf").startswith("ROOT").alias("named"))
+    kept = written(G.restrict(c, s.createDataFrame([(k,) for k in death], "c int")), "kept")
+    tree = written(G.dendrogram(kept, death), "tree").join(kept, "walk_id")
+    # walks share a leaf where their classes agree, and only there
+    a, b = tree.groupBy("leaf").agg(F.min("walk_id").alias("by_leaf")), tree.groupBy("classes").agg(F.min("walk_id").alias("by_classes"))
+    return tree.join(a, "leaf").join(b, "classes").select("walk_id", (F.col("leaf").startswith("ROOT") & (F.col("by_leaf") == F.col("by_classes"))).alias("named"))
 
 
 def _scan(s, d):
@@ -338,11 +388,12 @@ def _scan(s, d):
 
 
 def _kmeans(s, d):
-    """Every point's cluster is the one of its nearest centre, and centres are the means of their members."""
+    """Every point's cluster is the one of its nearest centre, by distances to all centres in Spark's own arithmetic."""
     p = t.embedding_cloud(s, d)
     a, codes = C.kmeans(p, 8)
-    again = C.assign(p, codes).withColumnRenamed("cluster", "again")
-    return a.join(again, "id").select("id", (F.col("cluster") == F.col("again")).alias("holds"))
+    far = [F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v) for c in codes]
+    both = a.join(p.select("id", F.array(*far).alias("d2")), "id")
+    return both.select("id", (F.get("d2", (F.col("cluster") - 1).cast("int")) <= F.array_min("d2") + 1e-9).alias("holds"))
 
 
 def _centres(s, d):
@@ -361,15 +412,19 @@ def _given(s, d):
 
 
 def _louvain(s, d):
-    """Every vertex has one community, and the partition's modularity is above that of single vertices (at most 0)."""
+    """Every vertex has one community; modularity is above that of single vertices (at most 0), and no two communities would have
+    more of it as one, by evidence per vertex for its own community."""
     e = written(M.symmetrize(M.distances(emb_knn(s, d, KG))), "edges")
     mc = C.louvain(e)
     a, b = mc.select(F.col("id").alias("src"), F.col("mc").alias("p")), mc.select(F.col("id").alias("dst"), F.col("mc").alias("q"))
     both = e.join(a, "src").join(b, "dst")
     total = e.agg(F.sum("w")).first()[0]
     inside = both.where("p = q").agg(F.sum("w")).first()[0]
-    deg = both.groupBy("p").agg(F.sum("w").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0]
-    return mc.select("id", F.lit(inside / total - deg / total**2 > 0).alias("holds"))
+    degree = written(both.groupBy("p").agg(F.sum("w").alias("d")), "degree")
+    deg = degree.agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+    links = both.where("p <> q").groupBy("p", "q").agg(F.sum("w").alias("w")).join(degree, "p").join(degree.select(F.col("p").alias("q"), F.col("d").alias("e")), "q")
+    gain = links.groupBy(F.col("p").alias("mc")).agg(F.max(F.col("w") - F.col("d") * F.col("e") / total).alias("gain"))
+    return mc.join(gain, "mc", "left").select("id", ((F.coalesce("gain", F.lit(0.0)) <= 1e-9 * total) & F.lit(inside / total - deg / total**2 > 0)).alias("holds"))
 
 
 def _indexed(s, d):

@@ -9,6 +9,8 @@ import copy as _copy
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.ordered import numbered
+from .functions.scalars import with_scalars
 from .operators import cluster, complexes, flow, homology, knn, points, solve, sparse, walks
 from .operators.layout import Layouts
 from .sources import io
@@ -77,8 +79,13 @@ class Trajectory:
         return self
 
     def som(self, xdim: int = 25, ydim: int = 25) -> "Trajectory":
+        """Clusters by k-means with a code for every unit of a grid."""
         return self.cluster(xdim * ydim)
 
+    def grid_filtration(self, xdim: int, ydim: int, k: int = 10) -> "Trajectory":
+        """The filtration of the grid of codes in place of a witness complex."""
+        return self._reduce(cluster.grid_complex(self.codes, xdim, ydim, k))
+
     def filtration(self, k: int = 30, alpha: float | None = None) -> "Trajectory":
         marks = written(self.codes.select(F.col("cluster").alias("id"), "x"), "codes")
         shifted = self.points.select((F.col("id") + 10**15).alias("id"), "x")  # points and codes must not be taken for each other
@@ -86,13 +93,16 @@ class Trajectory:
         if alpha is None:
             alpha = near.groupBy("src").agg(F.max("dist").alias("d")).agg(F.avg("d")).first()[0]
         c = written(complexes.expand(complexes.witness_vertices(near, alpha), complexes.witness_edges(near, alpha)), "complex")
-        self.simplices = written(complexes.skeleton(c, marks, 2), "simplices")
+        return self._reduce(complexes.skeleton(c, marks, 2))
+
+    def _reduce(self, simplices: DataFrame) -> "Trajectory":
+        self.simplices = written(simplices, "simplices")
         self.boundary = written(complexes.boundary(self.simplices), "boundary")
         self.reduced = written(homology.reduce_boundary(self.boundary), "reduced")
         return self
 
     def similarity(self, k: int | None = 30, kernel: str = "semer", sym: str = "max", epsilon: float | None = None) -> DataFrame:
-        return sparse.symmetrize(sparse.kernel(sparse.distances(self._lists(k)), kernel, epsilon), sym)
+        return sparse.similarity(self._lists(k), kernel, sym, epsilon)
 
     def solve_pseudotime(self, origin_name: str | None = None, k: int = 30, kernel: str = "semer", sym: str = "max", weighted: bool = True, method: str | None = None, **options) -> "Trajectory":
         name = origin_name or next(iter(self.origin))
@@ -110,11 +120,8 @@ class Trajectory:
         if to is not None:
             ends = points.set_origin(self.points, self.label_set(labels_name).where(F.col("label") == to), self.dim).select("id")
         if to is not None or equinumerous:
-            out = None
-            for i, row in enumerate(ends.orderBy("id").collect()):  # one round per fate
-                w = walks.walks_to(go, self.origin[name], row["id"], n, seed + i).withColumn("walk_id", F.col("walk_id") + i * n)
-                out = w if out is None else out.unionByName(w)
-            steps, stats = out, None
+            steps, stats = walks.walks_to(go, self.origin[name], ends, n, seed)
+            steps = steps.select("walk_id", "step", "v")
         else:
             steps, stats = walks.simulate(go, self.origin[name], n, seed)
         if add and name in self.walks:
@@ -133,14 +140,12 @@ class Trajectory:
         return self
 
     def down_sample(self, n: int = 10_000, k: int = 10, d: float = 2.0, method: str = "default", e: float = 1.0, seed: int = 7) -> "Trajectory":
-        """Keeps a sample of the points and forgets everything derived. method: default (boundary density), naive (weights
-        1 / density) or exp (weights 1 / density^e)."""
+        """Keeps a sample of the points and forgets everything derived. method: default (boundary of the density^e), naive (weights
+        dist^e, dist to entry k of the list) or exp (weights exp(dist^e))."""
         if method == "default":
-            kept = points.down_sample(self._lists(None), n, k, d, seed)
+            kept = points.down_sample(self._lists(None), n, k, d, e, seed)
         else:
-            power = 1.0 if method == "naive" else e
-            dens = points.densities(self._lists(None), k, d)
-            kept = points.weighted_sample(dens.select("id", F.pow("dens", F.lit(-power)).alias("w")), n, seed)
+            kept = points.sparse_sample(self._lists(None), n, k, e, method, seed)
         kept = written(kept, "kept")
         return Trajectory(self.points.join(kept, "id", "left_semi"), self.labels.join(kept, "id", "left_semi"), self.dim, self.name)
 
@@ -157,18 +162,33 @@ class Trajectory:
         o = self.points.sparkSession.createDataFrame([(self.origin[name],)], "id long")
         return flow.connectome(self.walks[name], self.communities, self.label_set(labels_name), at, o, **options)
 
-    def classify_walks(self, origin_name: str | None = None, termini: list[int] | None = None, reference: int | None = None) -> DataFrame:
-        """(walk_id, classes): walks (all, or those ending in the given vertices) over clusters, as classes of the filtration
-        relative to the first of them."""
+    def classify_walks(self, origin_name: str | None = None, termini: list[int] | None = None, reference: int | None = None, marked: DataFrame | None = None, extra_edges: bool = False) -> DataFrame:
+        """(walk_id, classes): walks over clusters (all, those that end in the given vertices, or a marked subset (walk_id)) as classes of
+        the filtration relative to the first of them.
+
+        Where they end in several vertices, each is led on to the cluster of the end with the latest pseudotime. With ``extra_edges``
+        an edge from each other end to that cluster is added for this call; as nothing fills it, each is an essential class."""
         name = origin_name or next(iter(self.origin))
         w = self.walks[name]
         if termini is not None:
             ends = walks.termini(w)
             w = walks.select_walks(w, ends.where(F.col("v").isin(*termini)))
+        if marked is not None:
+            w = walks.select_walks(w, marked)
+        ends = walks.termini(w).select(F.col("v").alias("id")).distinct()
+        late = F.struct(F.coalesce("pt", F.lit(-1.0)), -F.col("id"))
+        last = ends.join(self.clusters, "id").join(self.pseudotime[name], "id", "left").agg(F.max_by("cluster", late).alias("c"), F.count("*").alias("n")).first()
         w = written(walks.remove_cycles(written(walks.contract(w, self.clusters), "contracted")), "acyclic")
-        ends = walks.termini(w).groupBy("v").count().orderBy(F.desc("count"), "v").first()
-        w = written(walks.add_terminus(w, ends["v"]), "ended")
-        chains = written(homology.triangulate(w, self.simplices, self.codes.select(F.col("cluster").alias("id"), "x")), "chains")
+        simplices = self.simplices
+        if last["n"] > 1:
+            if extra_edges:
+                at = F.least("v", F.lit(last["c"])), F.greatest("v", F.lit(last["c"]))
+                more = walks.termini(w).where(F.col("v") != last["c"]).select(F.array(*at).alias("verts")).distinct().join(simplices, "verts", "left_anti")
+                top = simplices.agg(F.max("sidx").alias("top"), F.max("value").alias("value"))
+                more = numbered(with_scalars(more, top), [], [F.col("verts")], "n").select((F.col("top") + F.col("n")).cast("int").alias("sidx"), "verts", F.lit(1).alias("dim"), "value")
+                simplices = written(simplices.unionByName(more), "simplices")
+            w = written(walks.add_terminus(w, last["c"]), "ended")
+        chains = written(homology.triangulate(w, simplices, self.codes.select(F.col("cluster").alias("id"), "x")), "chains")
         ref = reference if reference is not None else w.agg(F.min("walk_id")).first()[0]
         return homology.represent(homology.cycles_against(chains, ref), self.reduced)
 
@@ -176,7 +196,26 @@ class Trajectory:
         self.show_all_fates = not self.show_all_fates if show is None else show
         return self
 
+    TABLES = ("points", "labels", "lists", "denoised", "clusters", "codes", "simplices", "boundary", "reduced", "communities")
+    NAMED = ("pseudotime", "walks", "walk_stats", "fates")
+
     def save(self, path: str) -> None:
-        tables = {"points": self.points, "labels": self.labels, "knn": self.lists, "clusters": self.clusters, "simplices": self.simplices}
-        tables |= {f"walks_{k}": v for k, v in self.walks.items()} | {f"pseudotime_{k}": v for k, v in self.pseudotime.items()}
-        io.save({k: v for k, v in tables.items() if v is not None}, path)
+        """Every table of the handle, its origins, layouts and names, to be opened again by ``load``."""
+        tables = {k: getattr(self, k) for k in self.TABLES}
+        tables |= {f"{k}/{n}": v for k in self.NAMED for n, v in getattr(self, k).items()} | {f"layouts/{n}": v for n, v in self.layouts.tables.items()}
+        io.save({k: v for k, v in tables.items() if v is not None}, path, {"dim": self.dim, "name": self.name, "origin": self.origin, "show_all_fates": self.show_all_fates})
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Trajectory":
+        tables, about = io.load(spark, path)
+        t = cls(tables["points"], tables["labels"], about["dim"], about["name"])
+        t.origin, t.show_all_fates = about["origin"], about["show_all_fates"]
+        for k, v in tables.items():
+            slot, _, name = k.partition("/")
+            if slot == "layouts":
+                t.layouts.tables[name] = v
+            elif name:
+                getattr(t, slot)[name] = v
+            else:
+                setattr(t, slot, v)
+        return t

@@ -1,10 +1,14 @@
 """Constructors, imports, merges and exports of labelled clouds."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashrand import uniform
+from ..functions.ordered import numbered, running_sum
 from ..functions.scalars import with_scalars
 
 UNSELECTED, UNPINNED = -100.0, -1.0
@@ -58,9 +62,8 @@ def choose_channels(events: DataFrame, table: DataFrame) -> tuple[DataFrame, lis
 def with_offsets(frames: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of several files (file_id, events_sel) as rows of their concatenation: events_sel plus the sizes (file_id, n) of
     the files before."""
-    w = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).select("file_id", "offset")  # one row per file
-    return frames.join(F.broadcast(before), "file_id").withColumn("row", F.col("events_sel") + F.col("offset"))
+    before = running_sum(sizes.select("file_id", "n"), [], [F.col("file_id")], "n", "upto").select("file_id", (F.col("upto") - F.col("n")).alias("offset"))
+    return frames.join(before, "file_id").withColumn("row", F.col("events_sel") + F.col("offset"))
 
 
 def merge(clouds: list[DataFrame], seed: int | None = None) -> DataFrame:
@@ -97,23 +100,37 @@ def path_report(times: DataFrame, walks: DataFrame) -> DataFrame:
     return times.select("id").join(ranks, "id", "left").select("id", F.when(F.col("rank").isNull(), -1).otherwise(1000).alias("which_event"), F.coalesce("rank", F.lit(-1)).alias("local_pseudotime"))
 
 
-def enrichment(sources: DataFrame, points: DataFrame, layout: DataFrame, times: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per event of the source files (file_id, events_sel): layout times 100, dense rank of pseudotime, number of the
-    label; -100 for events that aren't among the points."""
+def enrichment(sources: DataFrame, points: DataFrame, layout: DataFrame, times: DataFrame, labels: DataFrame, pinned: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per event of the source files (file_id, events_sel): layout times 100, dense rank of pseudotime, and for every label
+    set of labels (id, labels_name, label) the number of the label in a column label_{name}; -100 for events that aren't
+    among the points. Each pinned batch of walks (name -> walk_id, step, v) adds which_event_{name}, 1000 for events on it and -1 for
+    other points, and local_pseudotime_{name}, the dense rank among them; -100 again for the rest."""
     from ..operators.sparse import rank_bins
 
-    codes = labels.select("label").distinct().withColumn("code", F.row_number().over(Window.orderBy("label")))  # labels
+    sets = sorted(r[0] for r in labels.select("labels_name").distinct().collect())  # label sets
+    codes = numbered(labels.select("labels_name", "label").distinct(), ["labels_name"], [F.col("label")], "code")
+    coded = labels.join(codes, ["labels_name", "label"]).groupBy("id").agg(*[F.min(F.when(F.col("labels_name") == n, F.col("code"))).alias(f"label_{n}") for n in sets]) if sets else None
     ranks = rank_bins(times.select("id", "pt"), 1).select("id", F.col("t").alias("pseudotime"))
     rows = points.select("id", "file_id", "events_sel").join(layout.select("id", (F.col("x")[0] * 100).alias("layout_1"), (F.col("x")[1] * 100).alias("layout_2")), "id", "left")
-    rows = rows.join(ranks, "id", "left").join(labels.join(F.broadcast(codes), "label").select("id", F.col("code").alias("label")), "id", "left")
-    rows = rows.groupBy("file_id", "events_sel").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in ("layout_1", "layout_2", "pseudotime", "label")])
+    rows = rows.join(ranks, "id", "left")
+    rows = rows.join(coded, "id", "left") if sets else rows
+    for name, walks in (pinned or {}).items():
+        rows = rows.join(path_report(times, walks).toDF("id", f"which_event_{name}", f"local_pseudotime_{name}"), "id", "left")
+    names = [c for c in rows.columns if c not in ("id", "file_id", "events_sel")]
+    rows = rows.groupBy("file_id", "events_sel").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in names])
     out = sources.select("file_id", "events_sel").distinct().join(rows, ["file_id", "events_sel"], "left")
-    return out.select("file_id", "events_sel", *[F.coalesce(F.col(c).cast("double"), F.lit(UNSELECTED)).alias(c) for c in ("layout_1", "layout_2", "pseudotime", "label")])
+    return out.select("file_id", "events_sel", *[F.coalesce(F.col(c).cast("double"), F.lit(UNSELECTED)).alias(c) for c in names])
+
+
+def _normal(seed: int):
+    """A normal variate that follows from the id, by two uniforms."""
+    return F.sqrt(-2 * F.log(1 - uniform(seed, "id"))) * F.cos(2 * math.pi * uniform(seed + 1000, "id"))
 
 
 def noisy_circle(spark: SparkSession, n: int, radius: float = 1.0, sd: float = 0.1, shift: tuple[float, ...] = (0.0, 0.0), seed: int = 1) -> DataFrame:
-    a = F.rand(seed) * 2 * 3.141592653589793
-    x = [radius * F.cos("a") + F.randn(seed + 1) * sd + shift[0], radius * F.sin("a") + F.randn(seed + 2) * sd + shift[1], *[F.randn(seed + 3 + i) * sd + s for i, s in enumerate(shift[2:])]]
+    """(id, x): n points about a circle; each follows from its id and the seed, however the rows are partitioned."""
+    a = uniform(seed, "id") * 2 * math.pi
+    x = [radius * F.cos("a") + _normal(seed + 1) * sd + shift[0], radius * F.sin("a") + _normal(seed + 2) * sd + shift[1], *[_normal(seed + 3 + i) * sd + s for i, s in enumerate(shift[2:])]]
     return spark.range(n).withColumn("a", a).select("id", F.array(*x).alias("x"))
 
 
@@ -127,25 +144,31 @@ def snowman(spark: SparkSession, n: int, dims: int = 2, seed: int = 1) -> DataFr
     return out.where(F.col("x")[1] >= 0)
 
 
-def handle(points: DataFrame, a: int, b: int, step: float = 0.1, height: float = 1.0) -> DataFrame:
-    """Adds a dimension (0) and points along the straight line from point a to point b that leave it: an arc over the cloud.
+def handle(points: DataFrame, a: int, b: int, step: float = 0.1, height: float = 10.0) -> DataFrame:
+    """Adds a dimension, 0 for the points, and a handle in it: an upright stem over point a, one over point b, both at multiples
+    of step * height up to height, and at full height a straight bridge from a's stem to b's by steps.
 
-    New ids follow the largest one."""
+    New ids follow the largest one: a's stem, b's stem, the bridge, each in order."""
     ends = points.where(F.col("id").isin(a, b)).groupBy().agg(F.max(F.when(F.col("id") == a, F.col("x"))).alias("p"), F.max(F.when(F.col("id") == b, F.col("x"))).alias("q"))
     top = points.agg(F.max("id").alias("top"))
-    n = int(round(1 / step))
-    k = with_scalars(ends, top).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
-    f = F.col("k") / n
-    line = F.zip_with("p", "q", lambda u, v: u + (v - u) * F.col("f"))
-    new = k.withColumn("f", f).select((F.col("top") + F.col("k")).alias("id"), F.concat(line, F.array(F.lit(float(height)) * F.least(F.lit(1.0), F.least("f", 1 - F.col("f")) * 2))).alias("x"))
+    n = int(1 / step + 1e-9)
+    k = with_scalars(ends, top).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3 * n - 1))))
+    k = k.withColumn("part", F.floor(F.col("k") / n)).withColumn("t", (F.col("k") % n + 1) * step)
+    line = F.zip_with("p", "q", lambda u, v: u + (v - u) * F.col("t"))
+    base = F.when(F.col("part") == 0, F.col("p")).when(F.col("part") == 1, F.col("q")).otherwise(line)
+    up = F.when(F.col("part") < 2, F.col("t") * height).otherwise(F.lit(float(n * step * height)))
+    new = k.select((F.col("top") + F.col("k") + 1).alias("id"), F.concat(base, F.array(up)).alias("x"))
     return points.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x")).unionByName(new)
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """A handle on disk: every table as parquet under the path."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def save(tables: dict[str, DataFrame], path: str, about: dict) -> None:
+    """A handle on disk: every table as parquet under the path, and a table of one row with what they are called and other values."""
+    spark = next(iter(tables.values())).sparkSession
+    for i, df in enumerate(tables.values()):
+        df.write.mode("overwrite").parquet(f"{path}/table_{i}")
+    spark.createDataFrame([(json.dumps(about | {"tables": list(tables)}),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
 
 
-def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
+    return {n: spark.read.parquet(f"{path}/table_{i}") for i, n in enumerate(about.pop("tables"))}, about
