@@ -1,4 +1,4 @@
-"""Exact search for near points in blocks: trees of cuts whose sides overlap by the radius, and the kernels inside a block.
+"""Exact search for near points in blocks: trees of cuts whose upper sides overlap by the radius, and the kernels inside a block.
 
 Every pair within the radius meets in at least one block: at a cut, rows of the lower side that lie within the radius of the
 cut go to both sides. So each block can be searched alone, and blocks are as small as the data allow.
@@ -17,8 +17,13 @@ def _direction(x: np.ndarray) -> np.ndarray:
     return v[:, -1]
 
 
+#: Share of a side's rows that may lie within the radius of a cut and so go to both sides.
+BORDER = 0.45
+
+
 def kd_build(x: np.ndarray, r: float, leaf: int) -> list:
-    """Nodes (direction, cut, left, right), or (None, leaf number, -1, -1). A side narrower than four radii isn't cut."""
+    """Nodes (direction, cut, left, right), or (None, leaf number, -1, -1). A cut goes where the fewest rows lie within the radius of
+    it, between the third and the seventh tenth; where those are more than BORDER of all the side isn't cut."""
     nodes: list = []
     leaves = 0
 
@@ -29,8 +34,11 @@ def kd_build(x: np.ndarray, r: float, leaf: int) -> list:
         if len(x) > max(leaf, 8):
             v = _direction(x)
             t = x @ v
-            lo, m, hi = np.quantile(t, (0.1, 0.5, 0.9))
-            if hi - lo > 4 * r and (t < m).any():
+            s = np.sort(t)
+            cuts = np.quantile(t, (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7))  # the middle first, for ties
+            near = np.searchsorted(s, cuts, "left") - np.searchsorted(s, cuts - r, "left")
+            m = cuts[near.argmin()]
+            if near.min() <= BORDER * len(x) and (t < m).any():
                 a, b = grow(x[t < m]), grow(x[t >= m])
                 nodes[at] = (v, float(m), a, b)
                 return at
@@ -42,8 +50,33 @@ def kd_build(x: np.ndarray, r: float, leaf: int) -> list:
     return nodes
 
 
-def kd_route(nodes: list, x: np.ndarray, r: float):
-    """Yields (leaf, row numbers); rows near a cut come in both sides."""
+def kd_extend(nodes: list, leaf: int, tree: list) -> list:
+    """The nodes with a leaf replaced by a tree, whose leaves take new numbers."""
+    at = next(i for i, n in enumerate(nodes) if n[0] is None and n[1] == leaf)
+    start, number = len(nodes), 1 + max(n[1] for n in nodes if n[0] is None)
+    moved = [(None, n[1] + number, -1, -1) if n[0] is None else (n[0], n[1], n[2] + start, n[3] + start) for n in tree]
+    out = [*nodes, *moved]
+    out[at] = moved[0]
+    return out
+
+
+def kd_reach(nodes: list, x: np.ndarray, r: float):
+    """Yields (leaf, row numbers): every leaf that a row has points within r in, whichever side of a cut they are on."""
+    stack = [(0, np.arange(len(x)))]
+    while stack:
+        at, idx = stack.pop()
+        if not len(idx):
+            continue
+        v, m, a, b = nodes[at]
+        if v is None:
+            yield m, idx
+            continue
+        t = x[idx] @ v
+        stack += [(a, idx[t < m + r + 1e-9]), (b, idx[t >= m - r - 1e-9])]
+
+
+def kd_route(nodes: list, x: np.ndarray, r: float | None):
+    """Yields (leaf, row numbers); rows near a cut come in both sides, without a radius every row in one leaf."""
     stack = [(0, np.arange(len(x)))]
     while stack:
         at, idx = stack.pop()
@@ -54,7 +87,7 @@ def kd_route(nodes: list, x: np.ndarray, r: float):
             yield m, idx
             continue
         t = x[idx] @ v
-        stack += [(a, idx[t < m]), (b, idx[t >= m - r - 1e-9])]
+        stack += [(a, idx[t < m]), (b, idx[t >= (m if r is None else m - r - 1e-9)])]
 
 
 def _leaves(x: np.ndarray, r: float, leaf: int = 320):

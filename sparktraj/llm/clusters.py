@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .blocks import kd_build, kd_route, local_sets
+from .blocks import kd_route, local_sets
 from .common import DIM, hash_sample, matrix, materialize, split_copies, usable_points
-from .knn import BLOCK_ROWS, exchange, in_blocks
+from .knn import exchange, goes_to, in_blocks
 
-#: Numbers of components tried, axes kept, rows of the sample that starts the fit, full passes, share of the variance added.
-COMPONENTS, AXES, SAMPLE_ROWS, PASSES, RIDGE = (4, 8, 16, 24), 8, 6_000, 4, 0.05
+#: Numbers of components tried, axes kept, rows of the sample that starts the fit, share of the variance added.
+COMPONENTS, AXES, SAMPLE_ROWS, RIDGE = (4, 8, 16, 24), 8, 6_000, 0.05
+#: A fit has converged when a pass over all rows raises the log likelihood per row by less. As the ridge bounds every density, the
+#: likelihood is bounded, and so is the number of passes.
+CONVERGED = 0.05
 
 
 def mapped_sum(points: DataFrame, f, dim: int) -> np.ndarray | None:
@@ -95,10 +98,8 @@ class Mixture:
         k, q = self.mu.shape
         return k * (1 + q + q * (q + 1) // 2) - 1
 
-    def cut_large(self, x, r, n):
-        leaf = max(40, int(len(x) * BLOCK_ROWS / 2 / max(1, n)))
-        home = self.scores(self.z(x)).argmax(1)
-        self.trees = [kd_build(x[home == j], r, leaf) for j in range(len(self.mu))]
+    def bends(self):
+        """How fast the difference of two log densities can turn, needed before rows are routed."""
         slopes = [self.a.T @ p @ self.a for p in self.p]
         self.bend = np.array([[max(0.0, np.linalg.eigvalsh(b - c)[-1]) for c in slopes] for b in slopes])
         return self
@@ -115,10 +116,11 @@ class Mixture:
             grad = np.stack([-(z - self.mu[k]) @ (self.p[k] @ self.a) for k in range(len(self.mu))], 1)
             steep = np.sqrt(((grad - grad[np.arange(len(y)), i][:, None]) ** 2).sum(2))
             h = score - score[np.arange(len(y)), i][:, None] + r * steep + 0.5 * r * r * self.bend[i]
-            go = (h >= -1e-6 * (1 + np.abs(score))) & (np.arange(len(self.mu))[None] >= i[:, None])
+            turn = goes_to(len(self.mu))[i]
+            go = (h >= -1e-6 * (1 + np.abs(score))) & turn
             # rows so far out that z was clipped have no bound: they go everywhere
             far = (np.abs(z) >= 0.9e8).any(1)
-            go[far] = np.arange(len(self.mu))[None] >= i[far][:, None]
+            go[far] = turn[far]
             go[np.arange(len(y)), i] = True
             to[s : s + 1024] = go
         for j in np.nonzero(to.any(0))[0]:
@@ -153,7 +155,7 @@ def fit(points: DataFrame, dim: int = DIM, components=COMPONENTS, axes: int = AX
 
     s = mapped_sum(points, moments, dim)
     if s is None:
-        return Mixture(np.zeros(dim), np.eye(min(axes, dim), dim), np.ones(1), np.zeros((1, min(axes, dim))), np.eye(min(axes, dim))[None]).cut_large(np.empty((0, dim)), 1.0, 0), np.empty((0, dim)), 0
+        return Mixture(np.zeros(dim), np.eye(min(axes, dim), dim), np.ones(1), np.zeros((1, min(axes, dim))), np.eye(min(axes, dim))[None]), np.empty((0, dim)), 0
     n = int(s[0])
     mean = s[1 : 1 + dim] / n
     cov = s[1 + dim :].reshape(dim, dim) / n - np.outer(mean, mean)
@@ -164,13 +166,20 @@ def fit(points: DataFrame, dim: int = DIM, components=COMPONENTS, axes: int = AX
     z = (x - mean) @ a.T
     ridge = RIDGE
     models = [_start(z, k, mean, a, ridge, seed) for k in components if len(z) >= 10 * k] or [_start(z, 1, mean, a, ridge, seed)]
-    for step in range(PASSES + 1):
-        sizes = [1 + len(m.mu) * (1 + m.mu.shape[1] + m.mu.shape[1] ** 2) for m in models]
-        s = mapped_sum(points, lambda x, ms=models: np.concatenate([m.sums(m.z(x)) for m in ms]), dim)
-        each = np.split(s, np.cumsum(sizes)[:-1])
-        if step < PASSES:
-            models = [m.updated(p, ridge) for m, p in zip(models, each)]
-    bic = [-2 * p[0] + m.parameters() * math.log(max(2, n)) for m, p in zip(models, each)]
+    likelihood, open_ = [-np.inf] * len(models), list(range(len(models)))
+    while open_:
+        some = [models[i] for i in open_]
+        sizes = [1 + len(m.mu) * (1 + m.mu.shape[1] + m.mu.shape[1] ** 2) for m in some]
+        s = mapped_sum(points, lambda x, ms=some: np.concatenate([m.sums(m.z(x)) for m in ms]), dim)
+        each, go_on = np.split(s, np.cumsum(sizes)[:-1]), []
+        for i, p in zip(open_, each):
+            if p[0] - likelihood[i] >= CONVERGED * n:
+                go_on.append((i, p))
+            likelihood[i] = max(likelihood[i], p[0])
+        for i, p in go_on:
+            models[i] = models[i].updated(p, ridge)
+        open_ = [i for i, _ in go_on]
+    bic = [-2 * v + m.parameters() * math.log(max(2, n)) for m, v in zip(models, likelihood)]
     return models[int(np.argmin(bic))], x, n
 
 
@@ -197,8 +206,7 @@ def describe(assigned: DataFrame, typical: int = 5) -> DataFrame:
 def linked_groups(points: DataFrame, radius: float, least: int = 3, dim: int = DIM) -> DataFrame:
     """(cluster_key, id): connected sets of at least ``least`` points linked within the radius; the key is the smallest id."""
     points = points.select("id", "x").persist()
-    model, sample, n = fit(points, dim)
-    model.cut_large(sample, radius, n)
+    model = fit(points, dim)[0].bends()
     reps, others, copies = split_copies(points)
 
     def sets(ids, x, side):

@@ -5,8 +5,10 @@ row of the whole collection its part (the index). Two searches use it:
 
 * ``search``: a query goes to its most probable parts, until their probabilities reach ``mass``, and all rows there are ranked
   by exact distance. Approximate; the recall against brute force is measured in the tests and the README.
-* ``near_lists``: every row is a query, for neighbours within a radius. Besides its own part a row goes to every part whose
-  classifier score could win within the radius; the scores are linear, so that bound is strict and the lists are exact.
+* ``near_lists``: every row is a query, for neighbours within a radius. Besides its own part a row goes to the other parts that
+  are probable enough to be its neighbours': those whose score could win within the radius. The scores are linear, so that
+  bound on the probability is strict and the lists are exact. A part that holds more than a block of rows is cut by a tree
+  learned on a bounded sample of its own rows, and its leaves again, until all blocks fit.
 
 Defined cases: unusable points (x null, of another length, with null or NaN inside) are left out; infinities count as +-1e150;
 equal vectors are different points at distance 0; ties in distance go to the smaller id; an empty table gives no rows; columns
@@ -15,6 +17,7 @@ other than those named are ignored. Groups of equal vectors are searched once an
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -22,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import kd_build, kd_route, links_top_k
+from .blocks import kd_build, kd_extend, kd_route, links_top_k
 from .common import DIM, hash_sample, matrix, materialize, pack, small_side, split_copies, unpack, usable_points
 
 #: Rows that the partition is learned on, at most a quarter more.
 SAMPLE_ROWS = 8_000
 #: Rows aimed at for a part, and the most parts; a part that grows beyond is cut further inside.
 PART_ROWS, MAX_PARTS = 12_000, 256
-#: A block with more rows is searched as pairs of sub-blocks in separate tasks.
-BLOCK_ROWS = 60_000
+#: A block with more rows is cut by a tree on a sample of its rows; one that can't be cut is searched as pairs of sub-blocks.
+BLOCK_ROWS, BLOCK_SAMPLE = 24_000, 4_000
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
@@ -119,13 +122,6 @@ class PartRouter:
             w, b = w - step[:, :-1], b - step[:, -1]
         return cls(w / sd, b - (w / sd) @ mean)
 
-    def cut_large(self, x: np.ndarray, r: float, n: int) -> "PartRouter":
-        """Trees for parts that hold more than a block of the n rows, built on the sample."""
-        leaf = max(40, int(len(x) * BLOCK_ROWS / 2 / max(1, n)))
-        home = (x @ self.w.T + self.b).argmax(1)
-        self.trees = [kd_build(x[home == j], r, leaf) for j in range(len(self.b))]
-        return self
-
     def home(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.w.T + self.b).argmax(1)
 
@@ -143,13 +139,13 @@ class PartRouter:
         """Yields (block, row numbers) so that any two rows within r meet in a block.
 
         A neighbour y of x with home part j has s_j(y) >= s_i(y), hence s_j(x) >= s_i(x) - r |w_i - w_j|. Of two rows with
-        different homes the one with the smaller home number goes to the other's.
+        different homes one goes to the other's (see ``goes_to``).
         """
         s = x @ self.w.T + self.b
         i = s.argmax(1)
         gap = r * np.sqrt(np.maximum(0, ((self.w[:, None] - self.w[None]) ** 2).sum(2))) + 1e-9
         lacks = s[np.arange(len(x)), i][:, None] - s
-        to = (lacks <= gap[i] + 1e-9 * np.abs(s).max(1, keepdims=True)) & (np.arange(len(self.b))[None] >= i[:, None])
+        to = (lacks <= gap[i] + 1e-9 * np.abs(s).max(1, keepdims=True)) & goes_to(len(self.b))[i]
         to[np.arange(len(x)), i] = True
         for j in np.nonzero(to.any(0))[0]:
             idx = np.nonzero(to[:, j])[0]
@@ -157,9 +153,17 @@ class PartRouter:
                 yield int(j) << 20 | leaf, idx[sub]
 
 
-def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, s, t, side, id, x as binary): each row in its blocks. Blocks over ``block_rows`` rows are split by a hash of id
-    into m sub-blocks, and every pair (s, t) of them becomes a task of its own; nothing is capped or dropped."""
+def goes_to(parts: int) -> np.ndarray:
+    """[i, j]: of two near rows with homes i and j the one at home in i goes to j. The part that receives is the larger number if
+    their sum is even, else the smaller, so that no part receives from all its neighbours."""
+    i, j = np.arange(parts)[:, None], np.arange(parts)[None]
+    return np.where((i + j) % 2 == 0, j > i, j < i) | (i == j)
+
+
+def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> dict[int, int]:
+    """Grows the router's trees until no block holds more than ``block_rows`` rows; returns the blocks (and their sizes) that do and
+    that no tree cuts, as their rows lie too close together. A round counts all rows and draws BLOCK_SAMPLE of every large
+    block, by a hash of id; trees are grown on the executors, a vector for every two blocks."""
 
     def count(batches):
         for b in batches:
@@ -167,6 +171,44 @@ def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: in
             got = [(k, len(i)) for k, i in router.route(x, r)] if len(x) else []
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], ["block", "n"])
 
+    points, whole = points.select("id", "x"), {}
+    while True:
+        large = points.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()
+        size = {a["block"]: a["n"] for a in large}
+        whole = {k: n for k, n in size.items() if k in whole}
+        open_ = {k: n for k, n in size.items() if k not in whole}
+        if not open_:
+            return whole
+
+        def draw(batches, open_=open_):
+            for b in batches:
+                x, h = matrix(b.column(1), dim), b.column(2).to_numpy()
+                for k, i in router.route(x, r) if len(x) else ():
+                    if k in open_:
+                        i = i[h[i] < BLOCK_SAMPLE / open_[k]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k)), pack(x[i])], ["block", "x"])
+
+        def grow(key, t):
+            x, n = unpack(t.column("x"), np.float64, dim), open_[key[0].as_py()]
+            # a leaf aims at half a block, and stands on 40 rows of the sample at least
+            return pa.table({"block": [key[0].as_py()], "tree": pa.array([pickle.dumps(kd_build(x, r, max(40, int(len(x) * block_rows / 2 / n))))], pa.binary())})
+
+        hashed = points.withColumn("h", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30))
+        trees = hashed.mapInArrow(draw, "block long, x binary").groupBy("block").applyInArrow(grow, "block long, tree binary").collect()
+        grown = {t["block"]: pickle.loads(t["tree"]) for t in trees}
+        for k, n in open_.items():
+            tree = grown.get(k, [(None, 0, -1, -1)])
+            if len(tree) == 1:
+                whole[k] = n
+            else:
+                router.trees[k >> 20] = kd_extend(router.trees[k >> 20], k & 0xFFFFF, tree)
+
+
+def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, s, t, side, id, x as binary): each row in its blocks. Blocks over ``block_rows`` rows that no tree cuts are split by a
+    hash of id into m sub-blocks, and every pair (s, t) of them becomes a task of its own; nothing is capped or dropped."""
+    large = cut_large(points, router, r, dim, block_rows)
+
     def send(batches):
         for b in batches:
             x = matrix(b.column(1), dim)
@@ -175,13 +217,11 @@ def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k)), pa.array(ids[i]), pack(x[i])], ["block", "id", "x"])
 
     points = points.select("id", "x")
-    # the blocks are bounded by MAX_PARTS times the leaves of a sample, whatever the input
-    large = points.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()
     sent = points.mapInArrow(send, "block long, id long, x binary")
     if not large:
         return sent.select("block", F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "id", "x")
-    split = points.sparkSession.createDataFrame([(a["block"], -(-a["n"] * 2 // block_rows)) for a in large], "block long, m long")
-    sent = sent.join(F.broadcast(split), "block", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    split = points.sparkSession.createDataFrame([(k, -(-n * 2 // block_rows)) for k, n in large.items()], "block long, m long")
+    sent = sent.join(small_side(split)[0], "block", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     sent = sent.withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m")).cast("int"))
     sent = sent.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
     return sent.select("block", F.least("side", "o").alias("s"), F.greatest("side", "o").alias("t"), "side", "id", "x")
@@ -216,8 +256,7 @@ def _smallest(members: DataFrame, k: int) -> DataFrame:
 def near_lists(points: DataFrame, r: float, k: int, dim: int = DIM) -> DataFrame:
     """(src, dst, rnk, dist): for every point its k nearest others as far as they lie within r, exact. points: id, x, usable."""
     points = points.select("id", "x").persist()
-    router, sample, n = fit_router(points, dim)
-    router.cut_large(sample, r, n)
+    router, _, _ = fit_router(points, dim)
     reps, others, copies = split_copies(points)
     links = in_blocks(exchange(reps, router, r, dim), lambda i, x, s: links_top_k(i, x, r, k, s), "src long, dst long, dist double", dim)
     links = links.dropDuplicates(["src", "dst"])

@@ -109,6 +109,26 @@ def p9_found(spark, d: str) -> DataFrame:
     return alike_pairs(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+def p9_folded(spark, d: str) -> DataFrame:
+    """Classes of pages that are equal once case is folded too, by Unicode's full folding: (doc_id, looks, documents), the smallest
+    document, how many different looks fall together and how many documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    looks = look_keys(docs).where("look is not null").select("doc_id", "look")
+    both = look_keys(docs, True).where("look is not null").select("doc_id", F.col("look").alias("folded")).join(looks, "doc_id")
+    one = both.groupBy("folded", "look").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return one.groupBy("folded").agg(F.min("first").alias("doc_id"), F.count("*").alias("looks"), F.sum("n").alias("documents")).where("looks > 1").drop("folded")
+
+
+def p9_links(spark, d: str) -> DataFrame:
+    """(doc_id, class_id, links): each page that others look like, its class by the smallest page, and how many pages look the same but
+    differ as strings. Counts per text stand in for pairs, so a look that many pages share costs no more than its rows."""
+    keys = materialize(look_keys(spark.read.parquet(f"{d}/documents.parquet")).where("look is not null and doc_id is not null"), "looks")
+    texts = keys.groupBy("look", "own").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    every = texts.groupBy("look").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"), F.count("*").alias("texts")).where("texts > 1")
+    some = materialize(texts.join(every, "look").select("look", "own", "class_id", (F.col("all") - F.col("n")).alias("links")), "texts")
+    return keys.join(some, ["look", "own"]).select("doc_id", "class_id", "links")
+
+
 def p9_classes(spark, d: str) -> DataFrame:
     """For every look that several different texts share: its texts, its documents and its smallest document."""
     keys = look_keys(spark.read.parquet(f"{d}/documents.parquet")).where("look is not null")

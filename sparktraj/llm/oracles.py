@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .percentiles import P4_SQL
-from .quotas import P5_SQL
+from .quotas import P5_REPORT_SQL, P5_SQL
 
 POINTS = """p as (select id, x from (select *, row_number() over (partition by id order by ingested_at desc nulls last) rn from points where id is not null)
   where rn = 1 and len(x) = 25 and list_count(x) = 25 and len(list_filter(x, lambda v: isnan(v))) = 0)"""
@@ -23,6 +23,7 @@ SQL = {
     "p3_found": "with recursive " + LINKS + ", c as (select a as id, a as root from l union select l.b, c.root from c join l on l.a = c.id), k as (select id, min(root) as cluster_key from c group by id) select cluster_key, id from k qualify count(*) over (partition by cluster_key) >= 3",
     "p4_percentiles": P4_SQL,
     "p5_found": P5_SQL,
+    "p5_report": P5_REPORT_SQL,
     "p6_found": RUNS + "select walk_id, min(step) as first_step, max(step) as last_step, count(*)::int as n_steps from g group by walk_id, r having count(*) >= 2",
     "p6_runs": RUNS + "select walk_id, min(step) as first_step, max(step) as last_step, count(*) as n_steps, arg_min(v, step) as v, date_diff('microsecond', arg_min(visited_at, step), arg_max(visited_at, step)) / 1e6 as seconds from g group by walk_id, r",
 }

@@ -17,14 +17,18 @@ def queries() -> dict:
         "p5_found": quotas.p5_found,
         "p5_sample": quotas.p5_sample,
         "p5_report": quotas.p5_report,
+        "p5_files": quotas.p5_files,
         "p6_found": runs.p6_found,
         "p6_runs": runs.p6_runs,
+        "p6_segments": runs.p6_segments,
         "p7_ids": tokens.p7_ids,
         "p7_round_trip": tokens.p7_round_trip,
         "p8_sample": mixing.p8_sample,
         "p8_report": mixing.p8_report,
         "p9_found": lookalike.p9_found,
         "p9_classes": lookalike.p9_classes,
+        "p9_links": lookalike.p9_links,
+        "p9_folded": lookalike.p9_folded,
     }
 
 

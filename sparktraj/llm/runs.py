@@ -3,9 +3,12 @@
 The current steps are sorted by (walk_id, step) into range partitions of even size, whatever the length of a walk. The
 dissimilarity of consecutive vertices is 0 for the same vertex, their distance where both points are usable and near, and
 unbounded otherwise; distances are computed once per distinct vertex pair, and only for pairs that a projection onto a few
-channels leaves possible. Within each partition every walk is then cut by dynamic programming with pruning: least sum of
-squared dissimilarities inside runs plus ``radius`` squared per boundary. Runs that meet at a partition border are joined
-after; the costs are sums over neighbours, so the joined cut is optimal for the whole walk.
+channels leaves possible. Every walk is then cut by dynamic programming with pruning: least dissimilarity inside runs plus a
+penalty per run.
+
+* ``collapse``: dissimilarity of neighbours, penalty radius^2, the setting in which near-identical means near the one before. Runs
+  that meet at a partition border are joined after; the costs are sums over neighbours, so the joined cut is optimal.
+* ``mean_runs``: dissimilarity to the run's mean, penalty radius^2 / 2. A run can't drift away from its representative.
 
 Defined cases: of several rows of a step the latest logged_at counts (null is oldest; ties by content); rows with null
 walk_id or step are dropped, steps whose current v is null are dropped and don't separate; missing numbers don't separate; an
@@ -14,13 +17,16 @@ visited_at is null; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import matrix, materialize, pack, small_side, unpack, usable_points
+from ..functions.ordered import running_sum
+from .common import matrix, materialize, small_side, usable_points
 
 RADIUS = 0.4
 #: Channels that the first, compact comparison uses.
@@ -28,33 +34,47 @@ SKETCH = 8
 RUNS = "walk_id long, first_step int, last_step int, n_steps long, first_at long, last_at long, first_v long, part int, at_start boolean, at_end boolean, joins boolean"
 
 
-def segment(d2: np.ndarray, penalty: float) -> list[int]:
-    """Starts of the runs of one walk. d2[i]: squared dissimilarity of rows i-1 and i (inf: must be separate); d2[0] ignored.
+class Chain:
+    """Dissimilarity within a run: the sum of squared dissimilarities of neighbours. Its optimum joins neighbours where that of the two
+    alone does not exceed the penalty, so p6_found, whose definition asks about neighbours only, is this programme's result."""
 
-    best[t] = min over s < t of best[s] + sum(d2[s+1:t]) + penalty. A start s is pruned for good as soon as
-    best[s] + sum(d2[s+1:t]) >= best[t], since every later end costs it at least as much more.
-    """
-    starts: list[int] = []
-    n, s = len(d2), 0
-    while s < n:
-        e = s + 1
-        while e < n and d2[e] != np.inf:  # a stretch without forced boundaries
-            e += 1
-        best, back, alive = [0.0], [0], [(0, 0.0)]  # alive: (start, cost inside so far)
-        for t in range(1, e - s + 1):
-            if t > 1:
-                alive = [(a, c + d2[s + t - 1]) for a, c in alive if a < t - 1] + [(a, c) for a, c in alive if a == t - 1]
-            a, c = min(alive, key=lambda x: (best[x[0]] + x[1], x[0]))
-            best.append(best[a] + c + penalty)
-            back.append(a)
-            alive = [(a, c) for a, c in alive if best[a] + c < best[t]] + [(t, 0.0)]
-        t, cuts = e - s, []
-        while t > 0:
-            t = back[t]
-            cuts.append(s + t)
-        starts += cuts[::-1]
-        s = e
-    return starts
+    def __init__(self, d2: np.ndarray):
+        self.upto = np.r_[0.0, np.cumsum(np.r_[0.0, d2[1:]])]
+
+    def __call__(self, starts: np.ndarray, t: int) -> np.ndarray:
+        return self.upto[t] - self.upto[starts + 1]
+
+
+class Mean:
+    """Dissimilarity within a run: the sum of squared distances to the run's mean, its representative, each row counting ``weight``
+    times. A slow drift, whose neighbours are all near, is cut where the ends differ too much from their mean."""
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray):
+        x = x - x.mean(0)  # sums of squares then don't cancel
+        self.n, self.s = np.r_[0.0, np.cumsum(weight)], np.vstack([np.zeros(x.shape[1]), np.cumsum(x * weight[:, None], 0)])
+        self.q = np.r_[0.0, np.cumsum((x * x).sum(1) * weight)]
+
+    def __call__(self, starts: np.ndarray, t: int) -> np.ndarray:
+        n, s = self.n[t] - self.n[starts], self.s[t] - self.s[starts]
+        return np.maximum(self.q[t] - self.q[starts] - (s * s).sum(1) / n, 0.0)
+
+
+def segment(n: int, cost, penalty: float) -> list[int]:
+    """Starts of the runs of n rows: least sum of cost(start, end) over runs plus ``penalty`` per run.
+
+    best[t] = min over s < t of best[s] + cost(s, t) + penalty. A start s is pruned for good as soon as best[s] + cost(s, t) exceeds
+    best[t], since the cost of a run is no less than that of its two parts. Ties go to the earlier start: the longer run."""
+    best, back, alive = np.zeros(n + 1), np.zeros(n + 1, np.int64), np.zeros(1, np.int64)
+    for t in range(1, n + 1):
+        c = best[alive] + cost(alive, t)
+        i = int(c.argmin())
+        best[t], back[t] = c[i] + penalty, alive[i]
+        alive = np.r_[alive[c <= best[t] + 1e-12], t]
+    cuts, t = [], n
+    while t > 0:
+        t = int(back[t])
+        cuts.append(t)
+    return cuts[::-1]
 
 
 def current_steps(walks: DataFrame) -> DataFrame:
@@ -119,60 +139,62 @@ def collapse(walks: DataFrame, points: DataFrame, radius: float = RADIUS) -> Dat
     near, _ = small_side(near_pairs_of(rows, points.select("id", "x"), radius))
     rows = rows.join(near, ["pv", "v"], "left")
     rows = rows.withColumn("d2", F.when(F.col("pv").isNull(), None).when(F.col("pv") == F.col("v"), 0.0).otherwise(F.coalesce("d2", F.lit(float("inf")))))
-    rows = rows.select("part", "row", "walk_id", "step", "v", "at", "d2").repartition("part").sortWithinPartitions("part", "row")
+    # range partitions of even size again; whatever they are, links to the row before are known
+    rows = rows.select("walk_id", "step", "v", "at", "d2").repartitionByRange("walk_id", "step").sortWithinPartitions("walk_id", "step")
     penalty = radius * radius * (1 + 1e-12)
 
     def cut(batches):
-        """Runs of each walk; a walk may go on over batches, so its last stretch is held until the next walk begins."""
-        held: list[np.ndarray] | None = None
+        """Runs of the stretches of a task's rows. A stretch begins where a row can't belong with the one before; one that goes on over
+        batches is held in pieces until it ends."""
+        part, held, first = TaskContext.get().partitionId(), [], True
+        names = [c.split()[0] for c in RUNS.split(", ")]
 
-        def runs(cols, last_of_part):
-            part, row, w, step, v, at, d2 = cols
+        def runs(cols, at_start, at_end):
+            w, step, v, at, d2 = cols
             n = len(w)
-            new = np.r_[True, (w[1:] != w[:-1]) | (part[1:] != part[:-1])]
-            forced = new | ~(d2 <= penalty * 4)
-            d = np.where(forced, np.inf, d2)
-            # only stretches where some rows may belong together need the search
-            first = np.ones(n, bool)
-            inner = np.nonzero(~forced)[0]
+            near = d2 <= penalty * 4
+            near[0] = False
+            start = np.ones(n, bool)
+            inner = np.nonzero(near)[0]
             if len(inner):
                 begins = inner[np.r_[True, np.diff(inner) > 1]] - 1
                 ends = np.r_[inner[:-1][np.diff(inner) > 1], inner[-1]] + 1
                 for s, e in zip(begins, ends):
-                    first[s + 1 : e] = False
-                    first[s + np.array(segment(d[s:e], penalty))] = True
-            a = np.nonzero(first)[0]
+                    start[s + 1 : e] = False
+                    start[s + np.array(segment(e - s, Chain(d2[s:e]), penalty))] = True
+            a = np.nonzero(start)[0]
             z = np.r_[a[1:], n] - 1
-            end_of_part = np.r_[part[1:] != part[:-1], last_of_part]
-            joins = (row[a] == 0) & (d2[a] <= penalty)
+            one, last = np.zeros(len(a), bool), np.zeros(len(a), bool)
+            one[0], last[-1] = at_start, at_end
+            joins = one & (d2[a] <= penalty)
             return pa.RecordBatch.from_arrays(
-                [pa.array(w[a]), pa.array(step[a]), pa.array(step[z]), pa.array((z - a + 1).astype(np.int64)), pa.array(at[a], from_pandas=True).cast(pa.int64()), pa.array(at[z], from_pandas=True).cast(pa.int64()), pa.array(v[a]), pa.array(part[a]), pa.array(row[a] == 0), pa.array(end_of_part[z]), pa.array(joins)],
-                [c.split()[0] for c in RUNS.split(", ")],
+                [pa.array(w[a]), pa.array(step[a]), pa.array(step[z]), pa.array((z - a + 1).astype(np.int64)), pa.array(at[a], from_pandas=True).cast(pa.int64()), pa.array(at[z], from_pandas=True).cast(pa.int64()), pa.array(v[a]), pa.array(np.full(len(a), part, np.int32)), pa.array(one), pa.array(last), pa.array(joins)],
+                names,
             )
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            cols[6] = cols[6].astype(float)  # null at the start of a walk becomes NaN: never within the penalty
-            if cols[5].dtype == object or cols[5].dtype.kind == "f":
-                cols[5] = cols[5].astype(float)
-            if held is not None:
-                cols = [np.r_[x, y] for x, y in zip(held, cols)]
-            # hold the last stretch of rows that may belong together
-            possible = (cols[6] <= penalty * 4) & np.r_[False, (cols[2][1:] == cols[2][:-1]) & (cols[0][1:] == cols[0][:-1])]
-            s = len(possible) - 1
-            while s > 0 and possible[s]:
-                s -= 1
-            held = [x[s:] for x in cols]
-            if s:
-                yield runs([x[:s] for x in cols], cols[0][s] != cols[0][s - 1])
-        if held is not None:
-            yield runs(held, True)
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols[3], cols[4] = cols[3].astype(float), cols[4].astype(float)  # null at the start of a walk becomes NaN: never near
+            breaks = np.nonzero(~(cols[4] <= penalty * 4))[0]
+            if not len(breaks):
+                held.append(cols)
+                continue
+            if held or breaks[0]:
+                held.append([c[: breaks[0]] for c in cols])
+            s = breaks[-1]  # the last stretch may go on
+            whole = [np.concatenate(c) for c in zip(*held, [c[breaks[0] : s] for c in cols])] if held else [c[:s] for c in cols]
+            if len(whole[0]):
+                yield runs(whole, first, False)
+                first = False
+            held = [[c[s:] for c in cols]]
+        if held:
+            yield runs([np.concatenate(c) for c in zip(*held)], first, True)
 
     runs = materialize(rows.mapInArrow(cut, RUNS), "runs")
     # at most two runs of a partition touch its borders; those that belong together across borders are added up
-    border = runs.where("at_start or at_end").orderBy("part", "first_step").collect()
+    border = runs.where("at_start or at_end").collect()
     border.sort(key=lambda r: (r["part"], not r["at_start"]))
     merged: list[list] = []
     for r in border:
@@ -187,6 +209,48 @@ def collapse(walks: DataFrame, points: DataFrame, radius: float = RADIUS) -> Dat
     return every.select("walk_id", "first_step", "last_step", "n_steps", F.col("first_v").alias("v"), ((F.col("last_at") - F.col("first_at")) / 1e6).alias("seconds"))
 
 
+def mean_runs(walks: DataFrame, points: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(walk_id, first_step, last_step, n_steps, v, seconds): runs whose rows lie near the run's mean: least sum of squared distances to
+    the means plus radius^2 / 2 per run, so that two rows alone are joined up to the radius.
+
+    No best cut has neighbours in one run whose squared distance exceeds 6 penalties: taking both out costs 3 more runs and saves half
+    of it at least. Between such neighbours, stretches are independent, and equal neighbours, which no best cut parts, are one
+    weighted row; a stretch of such rows is what a task holds. An unusable point is near itself only."""
+    penalty = radius * radius / 2
+    points = points.select("id", "x")
+    rows, _ = ordered_steps(current_steps(walks))
+    near, _ = small_side(near_pairs_of(rows, points, math.sqrt(6 * penalty)).select("pv", "v"))
+    near = near.withColumn("near", F.lit(True))
+    rows = rows.select("walk_id", "step", "v", "at", "pv").join(near, ["pv", "v"], "left")
+    same = F.coalesce(F.col("pv") == F.col("v"), F.lit(False))
+    rows = rows.withColumn("fold", F.when(same, 0).otherwise(1)).withColumn("cut", F.when(same | F.col("near"), 0).otherwise(1))
+    numbered = running_sum(rows.select("walk_id", "step", "v", "at", "cut", "fold"), [], [F.col("walk_id"), F.col("step")], "fold", "dwell")
+    at = F.struct("step", "at")
+    dwell = numbered.groupBy("walk_id", "dwell").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.count("*").alias("n"), F.min_by("v", "step").alias("v"), F.max("cut").alias("cut"))
+    dwell = running_sum(dwell.select("walk_id", F.col("a.step").alias("first_step"), F.col("z.step").alias("last_step"), F.col("a.at").alias("first_at"), F.col("z.at").alias("last_at"), "n", "v", "cut"), [], [F.col("walk_id"), F.col("first_step")], "cut", "stretch")
+    dwell = materialize(dwell, "dwell")
+    many = dwell.groupBy("stretch").agg(F.count("*").alias("rows")).where("rows > 1").select("stretch")
+    alone = dwell.join(many, "stretch", "left_anti")
+    both = dwell.join(many, "stretch").join(points.withColumnRenamed("id", "v"), "v")
+    names = ["walk_id", "first_step", "last_step", "n_steps", "first_at", "last_at", "v"]
+
+    def cut(t):
+        t = t.sort_by("first_step")
+        n = t.column("n").to_numpy()
+        a = np.array(segment(len(n), Mean(matrix(t.column("x"), len(t.column("x")[0])), n.astype(float)), penalty))
+        z = np.r_[a[1:], len(n)] - 1
+        first, last = t.take(pa.array(a)), t.take(pa.array(z))
+        return pa.table([first.column("walk_id"), first.column("first_step"), last.column("last_step"), pa.array(np.add.reduceat(n, a)), first.column("first_at"), last.column("last_at"), first.column("v")], names=names)
+
+    done = both.groupBy("stretch").applyInArrow(cut, "walk_id long, first_step int, last_step int, n_steps long, first_at long, last_at long, v long")
+    every = done.unionByName(alone.select("walk_id", "first_step", "last_step", F.col("n").alias("n_steps"), "first_at", "last_at", "v"))
+    return every.select("walk_id", "first_step", "last_step", "n_steps", "v", ((F.col("last_at") - F.col("first_at")) / 1e6).alias("seconds"))
+
+
+def p6_segments(spark, d: str) -> DataFrame:
+    return mean_runs(spark.read.parquet(f"{d}/walks.parquet"), usable_points(spark.read.parquet(f"{d}/points.parquet")))
+
+
 def p6_runs(spark, d: str) -> DataFrame:
     return collapse(spark.read.parquet(f"{d}/walks.parquet"), usable_points(spark.read.parquet(f"{d}/points.parquet")))
 

@@ -16,12 +16,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters after which a block of documents is closed.
@@ -47,11 +48,16 @@ def newer_letters() -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else "(?!)"
 
 
-def load(path: str):
+def contents(path: str) -> bytes:
+    """The vocabulary file (about a megabyte), read on the driver; tasks get it with their code and need no copy on their machines."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -103,11 +109,12 @@ def split_words(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int
 
 def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(word, ids as binary int32) of distinct words."""
+    ranks = contents(vocabulary)
 
     def run(batches):
         enc = None
         for b in batches:
-            enc = enc or load(vocabulary)
+            enc = enc or load(ranks)
             ids = [np.array(enc.encode_ordinary(w), np.int32).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
@@ -156,21 +163,56 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_chars: int
     return _gather(docs, vocabulary, block_chars, True)
 
 
-def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids): each id is looked up by its number in the table of pieces (fixed size, 50,256 rows),
-    which every task reads, instead of a join; an id beyond it raises IndexError. Null ids give null; bytes that aren't UTF-8 become U+FFFD."""
+def split_ids(coded: DataFrame, block_ids: int = BLOCK_CHARS) -> DataFrame:
+    """(block, doc_id, idx, ids): a row per document with the places of its ids in the block's list, and one per block with that list."""
 
     def run(batches):
-        cells = None
+        pid, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        names = ["block", "doc_id", "idx", "ids"]
+
+        def close():
+            block = pid << 24 | seq
+            lists = pa.chunked_array([h[1] for h in held]).combine_chunks()
+            flat, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            ends = np.r_[0, np.cumsum(np.concatenate([h[2] for h in held]))] * 4
+            null = lists.is_null()
+            cells = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(at.astype(np.int32))]).cast(pa.binary())
+            cells = pc.if_else(null, pa.scalar(None, pa.binary()), cells)
+            docs = pa.chunked_array([h[0] for h in held]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), block)), docs, cells, pa.nulls(len(docs), pa.list_(pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([flat.tolist()], pa.list_(pa.int32()))], names)
+
         for b in batches:
-            if cells is None:
-                with open(vocabulary, "rb") as f:
-                    pieces = dict((int(n), base64.b64decode(p)) for p, n in map(bytes.split, f))
-                cells = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-            texts = [None if ids is None else b"".join([cells[i] for i in ids]).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+            if b.num_rows:
+                n = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy()
+                held.append((b.column(0), b.column(1), n))
+                size += int(n.sum())
+            if size >= block_ids:
+                yield from close()
+                seq, held, size = seq + 1, [], 0
+        if held:
+            yield from close()
+
+    return coded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "block long, doc_id long, idx binary, ids array<int>")
+
+
+def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): the distinct ids of every block of documents join the table of pieces by id, and the pieces go
+    back by position. Null ids give null, an empty list an empty text; bytes that aren't UTF-8 become U+FFFD; an id without
+    a piece is an error."""
+    split = materialize(split_ids(coded), "ids")
+    pieces, _ = small_side(coded.sparkSession.createDataFrame(pa.table(dict(zip(("id", "piece"), map(list, zip(*[(int(n), base64.b64decode(p)) for p, n in map(bytes.split, contents(vocabulary).splitlines())])))))).select(F.col("id").cast("int").alias("id"), "piece"))
+    named = split.where("ids is not null").select("block", F.posexplode("ids").alias("n", "id")).join(pieces, "id", "left").select(F.col("block").alias("of"), "n", "piece")
+
+    def run(left, right):
+        o = np.argsort(right.column("n").to_numpy())
+        cells = right.column("piece").take(pa.array(o)).to_pylist()
+        if None in cells:
+            raise ValueError("an id has no piece in the vocabulary")
+        texts = [None if i is None else b"".join([cells[j] for j in np.frombuffer(i, np.int32)]).decode("utf-8", "replace") for i in left.column("idx").to_pylist()]
+        return pa.table({"doc_id": left.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+    return split.where("ids is null").select("block", "doc_id", "idx").groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, "doc_id long, text string")
 
 
 def p7_ids(spark, d: str) -> DataFrame:

@@ -48,7 +48,8 @@ def test_near_lists_are_exact(cloud):
     assert got == want
 
 
-def test_oversized_blocks_are_split_without_loss(cloud):
+def test_blocks_that_no_tree_cuts_are_split_without_loss(cloud, monkeypatch):
+    monkeypatch.setattr(knn, "kd_build", lambda x, r, leaf: [(None, 0, -1, -1)])
     df, x = cloud
     router = knn.PartRouter(np.zeros((1, 25)), np.zeros(1))
     sent = knn.exchange(df, router, 0.4, block_rows=100)
@@ -67,11 +68,29 @@ def test_search_recall(cloud):
     assert len(got) == len(range(0, len(x), 7)) and np.mean(hit) >= 9
 
 
+def test_blocks_are_cut_until_they_fit(spark):
+    """Samples of the blocks' own rows cut them where one sample of all couldn't, and near rows still meet."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 25)) * 2
+    x[3000:] = x[:3000] + rng.normal(size=(3000, 25)) * 0.05
+    df = as_points(spark, x)
+    router = knn.PartRouter(np.zeros((1, 25)), np.zeros(1))
+    assert knn.cut_large(df, router, 0.4, block_rows=300) == {}
+    got = list(router.route(x, 0.4))
+    where = {}
+    for block, idx in got:
+        for i in idx:
+            where.setdefault(int(i), set()).add(block)
+    assert len(got) > 20 and max(len(i) for _, i in got) <= 300 and sum(len(i) for _, i in got) < 5 * len(x)
+    near = ((x[:3000] - x[3000:]) ** 2).sum(1) <= 0.16
+    assert near.sum() > 1000 and all(where[i] & where[i + 3000] for i in np.nonzero(near)[0])
+
+
 def test_router_keeps_near_rows_together():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 25))
     x[1500:] = x[:1500] + rng.normal(size=(1500, 25)) * 0.05
-    router = knn.PartRouter.fit(x, 60_000).cut_large(x, 0.4, 60_000)
+    router = knn.PartRouter.fit(x, 60_000)
     assert len(router.b) > 3
     where = {}
     for block, idx in router.route(x, 0.4):
@@ -106,16 +125,18 @@ def test_mixture_describes_separate_groups(spark):
     assert sum(r["size"] for r in told) == 700 and all(1 <= len(r["typical_ids"]) <= 5 for r in told)
 
 
-@pytest.mark.parametrize("most", [512, 16])
-def test_cover_and_isolated(cloud, most):
+@pytest.mark.parametrize("leaf,most", [(20_000, 512), (60, 16)])
+def test_cover_and_isolated(cloud, leaf, most, monkeypatch):
+    monkeypatch.setattr(subset, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(subset, "WIDTH", most)
     df, x = cloud
-    chosen, rows = subset.cover(df, 8.0, most=most)
-    ids = [r["id"] for c in chosen for r in c.collect()]
+    chosen, rows, tree = subset.cover(df, 8.0)
+    ids = [r["id"] for r in chosen.collect()]
     d = distances(x)
     np.fill_diagonal(d, 0)
     assert len(ids) == len(set(ids)) and (d[:, ids].min(1) <= 8.0).all()
     np.fill_diagonal(d, np.inf)
-    assert {r["id"] for r in subset.isolated(chosen, rows, 8.0).collect()} == set(np.nonzero(d.min(1) > 8.0)[0].tolist())
+    assert {r["id"] for r in subset.isolated(chosen, rows, tree, 8.0).collect()} == set(np.nonzero(d.min(1) > 8.0)[0].tolist())
 
 
 def test_varied_subset(cloud):
@@ -132,8 +153,7 @@ def test_empty_and_single(spark):
         p = common.usable_points(table(spark, rows)).select("id", "x")
         assert knn.near_lists(p, 0.4, 5).count() == 0
         assert clusters.linked_groups(p, 0.4).count() == 0
-        chosen, packed = subset.cover(p, 8.0)
-        alone = [r["id"] for r in subset.isolated(chosen, packed, 8.0).collect()]
+        alone = [r["id"] for r in subset.isolated(*subset.cover(p, 8.0), 8.0).collect()]
         assert alone == ([1] if rows == [(1, vec(1))] else [])
         assert subset.varied_subset(p, 3).count() == len(alone)
         assert knn.search(p, p, 3).count() == 0
@@ -143,8 +163,7 @@ def test_infinite_values_and_copies(spark):
     p = common.usable_points(table(spark, [(1, vec(float("inf"))), (2, vec(0)), (3, vec(0)), (4, vec(0)), (5, vec(0.1))])).select("id", "x")
     assert {(r["src"], r["dst"]) for r in knn.near_lists(p, 0.4, 2).collect()} == {(2, 3), (2, 4), (3, 2), (3, 4), (4, 2), (4, 3), (5, 2), (5, 3)}
     assert {(r["cluster_key"], r["id"]) for r in clusters.linked_groups(p, 0.4).collect()} == {(2, i) for i in (2, 3, 4, 5)}
-    chosen, packed = subset.cover(p, 8.0)
-    assert {r["id"] for r in subset.isolated(chosen, packed, 8.0).collect()} == {1}
+    assert {r["id"] for r in subset.isolated(*subset.cover(p, 8.0), 8.0).collect()} == {1}
 
 
 def test_a_third_of_the_rows_equal(spark):
@@ -156,6 +175,22 @@ def test_a_third_of_the_rows_equal(spark):
     assert clusters.linked_groups(df, 0.4).where("id < 2000").agg(F.count("*"), F.max("cluster_key")).first()[:] == (2000, 0)
 
 
+def test_subsets_cover_better_than_chance(spark):
+    """Of 3,000 rows in groups of very unequal size: how far the farthest row is from 40 chosen ones."""
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=(2700, 25)) * 0.3, rng.normal(size=(280, 25)) + 4, rng.normal(size=(20, 25)) * 6]
+    ids = [r["id"] for r in subset.varied_subset(as_points(spark, x), 40).collect()]
+
+    def radius(chosen):
+        return np.sqrt(((x[:, None] - x[chosen][None]) ** 2).sum(2)).min(1).max()
+
+    greedy, d = [0], np.sqrt(((x - x[0]) ** 2).sum(1))
+    while len(greedy) < 40:
+        greedy.append(int(d.argmax()))
+        d = np.minimum(d, np.sqrt(((x - x[greedy[-1]]) ** 2).sum(1)))
+    assert radius(ids) < 0.8 * np.median([radius(rng.choice(3000, 40, False)) for _ in range(9)]) and radius(ids) < 2.5 * radius(greedy)
+
+
 def latent(n, seed=8):
     """n rows whose 25 channels follow one latent dimension."""
     u = np.random.default_rng(seed).uniform(-1, 1, size=(n, 1))

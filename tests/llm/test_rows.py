@@ -3,6 +3,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparktraj.llm import mixing, percentiles, quotas, runs
 
@@ -49,12 +50,16 @@ PLANS = "plan_name string, labels_name string, label string, share double, min_r
 def test_quotas(spark):
     plans = spark.createDataFrame([("p", "s", "Big", 0.6, 5, 100), ("p", "s", " small ", 0.4, 2, 100), ("p", "s", "none", 0.0, 3, 100), ("p", "s", None, 0.5, 3, 100), ("q", "t", "big", None, None, 10)], PLANS)
     pop = spark.createDataFrame([(i, "s", "big", None if i % 3 == 0 else i % 5) for i in range(1000)] + [(2000 + i, "s", "small", 1) for i in range(10)], "id long, labels_name string, norm string, file_id int")
-    sample, report = quotas.draw(plans, pop)
+    sample, report, files = quotas.draw(plans, pop)
     got = {(r["plan_name"], r["label"]): (r["wanted"], r["available"], r["taken"], r["gap"]) for r in report.collect()}
     assert got == {("p", "Big"): (60, 1000, 60, 0), ("p", " small "): (40, 10, 10, 30), ("p", "none"): (3, 0, 0, 3), ("q", "big"): (0, 0, 0, 0)}
     ids = [r["id"] for r in sample.collect()]
     assert len(ids) == len(set(ids)) == 70
-    sample, report = quotas.draw(plans.limit(0), pop.limit(0))
+    by_file = {r["file"]: r["taken"] for r in files.where("plan_name = 'p'").collect()}
+    assert sum(by_file.values()) == 70 and by_file["1"] >= 10 and by_file["null"] > 0
+    shares = files.where("plan_name = 'p'").agg(F.sum("target_share"), F.sum("actual_share"), F.sum("gap")).first()
+    assert list(shares) == pytest.approx([1, 1, 0], abs=1e-9)
+    sample, report, _ = quotas.draw(plans.limit(0), pop.limit(0))
     assert sample.count() == 0 and report.count() == 0
     assert quotas.draw(plans, pop.limit(0))[1].where("gap > 0").count() == 3
 
@@ -143,12 +148,43 @@ def test_segment_is_optimal():
     for _ in range(200):
         n = int(rng.integers(1, 9))
         d = np.where(rng.random(n) < 0.2, np.inf, rng.random(n) * 2)
-        starts = runs.segment(d, 1.0)
+        d = np.minimum(d, 1e6)
+        starts = runs.segment(n, runs.Chain(d), 1.0)
         cost = lambda cut: sum(1.0 if i in cut else d[i] for i in range(1, n)) + 1.0
         best = min(cost({i for i in range(1, n) if m >> i & 1}) for m in range(0, 2**n, 2))
         assert starts[0] == 0 and cost(set(starts)) == pytest.approx(best)
 
 
+def within(x, w):
+    m = (x * w[:, None]).sum(0) / w.sum()
+    return (((x - m) ** 2).sum(1) * w).sum()
+
+
+def test_segments_about_means_are_optimal():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 9))
+        x, w = np.cumsum(rng.normal(size=(n, 3)) * 0.3, 0), rng.integers(1, 4, n).astype(float)
+        starts = runs.segment(n, runs.Mean(x, w), 0.2)
+        cost = lambda cut: sum(within(x[a:z], w[a:z]) + 0.2 for a, z in zip(cut, [*cut[1:], n]))
+        best = min(cost([0, *[i for i in range(1, n) if m >> i & 1]]) for m in range(0, 2**n, 2))
+        assert starts[0] == 0 and cost(starts) == pytest.approx(best)
+
+
+def test_mean_runs_end_where_a_drift_has_gone_too_far(spark):
+    """0, 0.3, 0.6, ... are all near the one before: one chain, but several runs about means."""
+    rows = [(1, s, s, 0) for s in range(10)] + [(1, s, 3, 0) for s in range(10, 400)] + [(2, 1, 50, 0), (2, 2, 50, 0), (2, 3, 77, 0), (3, 1, 77, 0), (4, 1, None, 0)]
+    assert runs.collapse(steps(spark, rows), cloud(spark)).where("walk_id = 1").count() == 2
+    got = sorted(tuple(r)[:4] for r in runs.mean_runs(steps(spark, rows), cloud(spark)).collect())
+    v = np.array([0.3 * s for s in range(10)] + [0.9])[:, None]
+    w = np.r_[np.ones(10), 390.0]
+    drift = runs.segment(10, runs.Mean(v[:10], w[:10]), 0.08)
+    want = [(1, a, z - 1, z - a) for a, z in zip(drift, [*drift[1:], 10])] + [(1, 10, 399, 390), (2, 1, 2, 2), (2, 3, 3, 1), (3, 1, 1, 1)]
+    assert len(drift) > 2 and got == sorted(want)
+    assert runs.mean_runs(steps(spark, []), cloud(spark)).count() == 0
+    assert runs.mean_runs(steps(spark, [(1, 1, 5, 0), (1, 2, 6, 0)]), cloud(spark).limit(0)).count() == 2
+
+
 def test_mix_fills_until_nothing_fits(spark):
     docs = [(i, "word " * 2 ** (i % 12), "one", "en", 1) for i in range(36)]
     targets = [(f"m{k}", "one", 0.5, 1, 11_000) for k in range(60)]

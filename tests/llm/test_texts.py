@@ -29,6 +29,11 @@ def test_repeated_and_null_ids_and_empty(spark):
     assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in tokens.encode(docs).collect()) == [(0, 1), (1, 2), (1, 2), (2, 0)]
     assert tokens.encode(docs.limit(0)).count() == 0
     assert tokens.encode(docs.where("doc_id = 2")).first()["ids"] == []
+    coded = spark.createDataFrame([(1, [64, 65]), (1, [64]), (None, [65]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted((r["doc_id"] or 0, r["text"] or str(r["text"])) for r in tokens.decode(coded).collect()) == [(0, "b"), (1, "a"), (1, "ab"), (2, "None"), (3, "")]
+    assert tokens.decode(coded.limit(0)).count() == 0
+    with pytest.raises(Exception):
+        tokens.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
 
 
 SAME = ["Résumé of a fine fish: 10 cm", "Résumé of a ﬁne ﬁsh: 10 cm", "Résumé of a　fine fish: 10 cm", "Rés­umé o​f a fi⁠ne fish﻿: 10 cm", "Ｒésumé of a fine fish: １０ cm", "Résumé оf а finе fіѕh: 10 сm", "Résumé οf a fine fish: 10 cm"]
@@ -50,6 +55,13 @@ def test_a_hot_look(spark):
     assert lookalike.alike_pairs(docs).count() == 3000
 
 
+def test_links_stand_for_pairs(spark, tmp_path):
+    texts = ["a b", "a\u00a0b", "a b", "c", "A b", None, "c"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in lookalike.p9_links(spark, str(tmp_path)).collect()} == {(0, 0, 1), (1, 0, 2), (2, 0, 1)}
+    assert [tuple(r) for r in lookalike.p9_folded(spark, str(tmp_path)).select("doc_id", "looks", "documents").collect()] == [(0, 2, 4)]
+
+
 def test_one_form(spark):
     docs = spark.createDataFrame([(1, "ＡＢ c\r\nd"), (2, None), (3, "Straße")], "doc_id long, text string")
     assert {r["doc_id"]: r["same"] for r in lookalike.normalized(docs).collect()} == {1: "AB c\nd", 2: None, 3: "Straße"}
