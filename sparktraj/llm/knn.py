@@ -160,9 +160,9 @@ def goes_to(parts: int) -> np.ndarray:
     return np.where((i + j) % 2 == 0, j > i, j < i) | (i == j)
 
 
-def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> dict[int, int]:
+def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> tuple[dict[int, int], int]:
     """Grows the router's trees until no block holds more than ``block_rows`` rows; returns the blocks (and their sizes) that do and
-    that no tree cuts, as their rows lie too close together. A round counts all rows and draws BLOCK_SAMPLE of every large
+    that no tree cuts, as their rows lie too close together, and the number of blocks. A round counts all rows and draws BLOCK_SAMPLE of every large
     block, by a hash of id; trees are grown on the executors, a vector for every two blocks."""
 
     def count(batches):
@@ -173,12 +173,13 @@ def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: i
 
     points, whole = points.select("id", "x"), {}
     while True:
-        large = points.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()
-        size = {a["block"]: a["n"] for a in large}
+        blocks = points.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+        got = blocks.agg(F.count("*").alias("all"), F.collect_list(F.when(F.col("n") > block_rows, F.struct("block", "n"))).alias("large")).first()
+        size = {a["block"]: a["n"] for a in got["large"]}
         whole = {k: n for k, n in size.items() if k in whole}
         open_ = {k: n for k, n in size.items() if k not in whole}
         if not open_:
-            return whole
+            return whole, got["all"]
 
         def draw(batches, open_=open_):
             for b in batches:
@@ -206,8 +207,10 @@ def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: i
 
 def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(block, s, t, side, id, x as binary): each row in its blocks. Blocks over ``block_rows`` rows that no tree cuts are split by a
-    hash of id into m sub-blocks, and every pair (s, t) of them becomes a task of its own; nothing is capped or dropped."""
-    large = cut_large(points, router, r, dim, block_rows)
+    hash of id into m sub-blocks, and every pair (s, t) of them becomes a task of its own; nothing is capped or dropped. Blocks are
+    spread over twice as many partitions as there are, so that a task reads a block or a few small ones at any size."""
+    large, blocks = cut_large(points, router, r, dim, block_rows)
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (blocks + sum((2 * n // block_rows + 1) ** 2 // 2 for n in large.values())))
 
     def send(batches):
         for b in batches:
@@ -219,12 +222,12 @@ def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: in
     points = points.select("id", "x")
     sent = points.mapInArrow(send, "block long, id long, x binary")
     if not large:
-        return sent.select("block", F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "id", "x")
+        return sent.select("block", F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "id", "x").repartition(parts, "block", "s", "t")
     split = points.sparkSession.createDataFrame([(k, -(-n * 2 // block_rows)) for k, n in large.items()], "block long, m long")
     sent = sent.join(small_side(split)[0], "block", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     sent = sent.withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m")).cast("int"))
     sent = sent.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
-    return sent.select("block", F.least("side", "o").alias("s"), F.greatest("side", "o").alias("t"), "side", "id", "x")
+    return sent.select("block", F.least("side", "o").alias("s"), F.greatest("side", "o").alias("t"), "side", "id", "x").repartition(parts, "block", "s", "t")
 
 
 def in_blocks(sent: DataFrame, kernel: Callable, schema: str, dim: int = DIM) -> DataFrame:
