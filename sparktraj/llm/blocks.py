@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rows of a distance tile.
-TILE = 512
+#: Pairs whose distances are taken at a time, and pairs looked at at a time.
+TILE, PAIRS = 65_536, 1_000_000
+#: Rows of a cell that isn't cut further, and copies of a row in cells from which none is.
+CELL_ROWS, CELL_COPIES = 256, 16
 
 
-def _direction(x: np.ndarray) -> np.ndarray:
-    c = np.clip(x - np.median(x, 0), -1e6, 1e6)
-    w, v = np.linalg.eigh(c.T @ c)
-    return v[:, -1]
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Principal directions, widest last, of the rows with their far values clipped, as a few far rows would turn all of them."""
+    lo, hi = np.quantile(x, (0.02, 0.98), axis=0)
+    c = np.clip(x, lo, hi) - np.median(x, 0)
+    return np.linalg.eigh(c.T @ c)[1]
 
 
 #: Share of a side's rows that may lie within the radius of a cut and so go to both sides.
@@ -22,8 +25,9 @@ BORDER = 0.45
 
 
 def kd_build(x: np.ndarray, r: float, leaf: int) -> list:
-    """Nodes (direction, cut, left, right), or (None, leaf number, -1, -1). A cut goes where the fewest rows lie within the radius of
-    it, between the third and the seventh tenth; where those are more than BORDER of all the side isn't cut."""
+    """Nodes (direction, cut, left, right), or (None, leaf number, -1, -1). A cut goes along the principal direction and where the
+    fewest rows lie within the radius of it, between the third and the seventh tenth; where those are more than BORDER of all the side
+    isn't cut. Leaves are counted with the rows that come in both sides."""
     nodes: list = []
     leaves = 0
 
@@ -32,14 +36,21 @@ def kd_build(x: np.ndarray, r: float, leaf: int) -> list:
         at = len(nodes)
         nodes.append(None)
         if len(x) > max(leaf, 8):
-            v = _direction(x)
-            t = x @ v
-            s = np.sort(t)
-            cuts = np.quantile(t, (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7))  # the middle first, for ties
-            near = np.searchsorted(s, cuts, "left") - np.searchsorted(s, cuts - r, "left")
-            m = cuts[near.argmin()]
-            if near.min() <= BORDER * len(x) and (t < m).any():
-                a, b = grow(x[t < m]), grow(x[t >= m])
+            best = None
+            for v in _directions(x).T[::-1]:  # the widest first, for ties
+                t = x @ v
+                s = np.sort(t)
+                cuts = np.quantile(t, (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7))  # the middle first, for ties
+                near = np.searchsorted(s, cuts, "left") - np.searchsorted(s, cuts - r, "left")
+                near = np.where(near <= 0.75 * np.searchsorted(s, cuts, "left"), near, len(x))  # else the upper side is hardly smaller
+                if (best is None or near.min() < best[0]) and s[0] < cuts[near.argmin()]:
+                    best = near.min(), v, cuts[near.argmin()]
+                if r == 0:  # nothing lies within it: the widest
+                    break
+            if best is not None and best[0] <= BORDER * len(x):
+                v, m = best[1:]
+                t = x @ v
+                a, b = grow(x[t < m]), grow(x[t >= m - r])
                 nodes[at] = (v, float(m), a, b)
                 return at
         nodes[at] = (None, leaves, -1, -1)
@@ -90,45 +101,86 @@ def kd_route(nodes: list, x: np.ndarray, r: float | None):
         stack += [(a, idx[t < m]), (b, idx[t >= (m if r is None else m - r - 1e-9)])]
 
 
-def _leaves(x: np.ndarray, r: float, leaf: int = 320):
-    """Row numbers of the leaves of an overlapping tree built on the rows themselves."""
-    stack = [np.arange(len(x))]
-    while stack:
-        idx = stack.pop()
-        if len(idx) > leaf:
-            some = x[idx[:: max(1, len(idx) // 2000)]]
-            v = _direction(some)
-            t = x[idx] @ v
-            m = np.median(t)
-            low, high = idx[t < m], idx[t >= m - r - 1e-9]
-            if 0 < len(low) and len(high) < 0.85 * len(idx):
-                stack += [low, high]
-                continue
-        yield idx
+def _axes(x: np.ndarray) -> np.ndarray:
+    """Coordinates along the principal directions of some of the rows, widest first. Far values are clipped; neither that nor the
+    rotation takes two rows farther apart."""
+    c = np.clip(x - np.median(x[:: max(1, len(x) // 2000)], 0), -1e4, 1e4)
+    some = c[:: max(1, len(c) // 2000)]
+    return c @ np.linalg.eigh(some.T @ some)[1][:, ::-1]
+
+
+def _cells(t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, cell, bumped) and how many axes were cut. Axis by axis, cells of more than CELL_ROWS rows are cut into slices of 2 r, and
+    rows within r of a slice's upper end come in the next one as well. Rows within r then meet in a cell; ``bumped`` has a bit for
+    every axis that took the row a slice up, and two rows with a bit in common meet elsewhere without it."""
+    row, cell, bumped = np.arange(len(t)), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+    for d in range(t.shape[1] - 1):
+        size = np.bincount(cell)
+        cut = size[cell] > CELL_ROWS
+        if not cut.any() or len(row) > CELL_COPIES * len(t):
+            return row, cell, bumped, d
+        at = t[row, d] / (2 * r)
+        own = np.where(cut, np.floor(at), 0).astype(np.int64)
+        up = np.nonzero(cut & (np.floor(at + 0.5 + 1e-6) > own))[0]
+        row, bumped = np.r_[row, row[up]], np.r_[bumped, bumped[up] | 1 << d]
+        key = np.r_[cell, cell[up]] * (own.max() - own.min() + 2) + np.r_[own, own[up] + 1] - own.min()
+        o = np.argsort(key, kind="stable")
+        row, bumped, key = row[o], bumped[o], key[o]
+        cell = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    return row, cell, bumped, t.shape[1] - 1
 
 
 def near_pairs(x: np.ndarray, r: float, side: np.ndarray | None = None):
-    """Yields arrays (i, j, dist) of row pairs i < j within r, exact in float64; a pair can come more than once.
+    """Yields arrays (i, j, dist) of row pairs i < j within r, exact in float64, each pair once.
 
-    With ``side`` only pairs between rows of different sides come.
+    With ``side`` only pairs between rows of different sides come. Cells of slices are joined within a window along one more axis,
+    PAIRS pairs at a time; the axes that are left rule out most of them before their distance is taken.
     """
-    for idx in _leaves(x, r):
-        y = x[idx]
-        sq = np.einsum("ij,ij->i", y, y)
-        for s in range(0, len(y), TILE):
-            d = sq[s : s + TILE, None] + sq[None] - 2 * (y[s : s + TILE] @ y.T)
-            i, j = np.nonzero(d <= r * r + 1e-6 + 1e-12 * np.minimum(sq.max(), 1e12))
-            i += s
-            keep = i < j
+    if len(x) < 2:
+        return
+    t = _axes(x)
+    row, cell, bumped, d = _cells(t, r)
+    low = t[:, d].min()
+    span = t[:, d].max() - low + 4 * r + 1
+    key = cell * span + (t[row, d] - low)
+    o = np.argsort(key, kind="stable")
+    row, bumped, key = row[o], bumped[o], key[o]
+    count = np.searchsorted(key, key + r + 1e-6 + 1e-15 * key[-1], "right") - np.arange(1, len(key) + 1)
+    ends = np.cumsum(count)
+    most, columns = r * r + 1e-6, np.ascontiguousarray(t.T)
+    axes = [q % t.shape[1] for q in range(d, d + t.shape[1])]
+    near = columns[axes[:4]][:, row]  # in the order of the cells, where the rows of a window stand side by side
+    first = 0
+    while first < len(key):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        n = count[first:last]
+        a = np.repeat(np.arange(first, last), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+        first = last
+        d2 = np.zeros(len(a))
+        for c in near:
+            d2 += (c[a] - c[b]) ** 2
+            keep = np.nonzero(d2 <= most)[0]
+            if len(keep) < 0.9 * len(a):
+                a, b, d2 = a[keep], b[keep], d2[keep]
+        keep = (bumped[a] & bumped[b] == 0) & (d2 <= most)
+        i, j, d2 = row[a[keep]], row[b[keep]], d2[keep]
+        for q in axes[4:]:
+            if len(i) < 64:
+                break
+            d2 += (columns[q][i] - columns[q][j]) ** 2
+            keep = np.nonzero(d2 <= most)[0]
+            if len(keep) < 0.9 * len(i):
+                i, j, d2 = i[keep], j[keep], d2[keep]
+        if side is not None:
+            keep = side[i] != side[j]
             i, j = i[keep], j[keep]
-            if side is not None:
-                keep = side[idx[i]] != side[idx[j]]
-                i, j = i[keep], j[keep]
-            if len(i):
-                dist = np.sqrt(((y[i] - y[j]) ** 2).sum(1))
-                keep = dist <= r
-                a, b = idx[i[keep]], idx[j[keep]]
-                yield np.minimum(a, b), np.maximum(a, b), dist[keep]
+        for s in range(0, len(i), TILE):
+            p, q = i[s : s + TILE], j[s : s + TILE]
+            dist = np.sqrt(((x[p] - x[q]) ** 2).sum(1))
+            keep = dist <= r
+            p, q = p[keep], q[keep]
+            yield np.minimum(p, q), np.maximum(p, q), dist[keep]
 
 
 def top_k(src: np.ndarray, dst: np.ndarray, dist: np.ndarray, k: int):

@@ -34,6 +34,9 @@ SAMPLE_ROWS = 8_000
 PART_ROWS, MAX_PARTS = 12_000, 256
 #: A block with more rows is cut by a tree on a sample of its rows; one that can't be cut is searched as pairs of sub-blocks.
 BLOCK_ROWS, BLOCK_SAMPLE = 24_000, 4_000
+#: The most parts and rows of a block of ``near_lists``: every cut copies the rows within the radius of it, those of a tree along the
+#: widest directions fewer than those between many parts.
+LIST_PARTS, LIST_ROWS = 16, 150_000
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
@@ -94,10 +97,10 @@ class PartRouter:
         self.w, self.b, self.trees = w, b, [[(None, 0, -1, -1)] for _ in b]
 
     @classmethod
-    def fit(cls, x: np.ndarray, n: int, steps: int = 120, seed: int = 3) -> "PartRouter":
-        """``x``: the bounded sample; ``n``: rows of the whole collection, which set the number of parts."""
+    def fit(cls, x: np.ndarray, n: int, steps: int = 120, seed: int = 3, most: int = MAX_PARTS) -> "PartRouter":
+        """``x``: the bounded sample; ``n``: rows of the whole collection, which set the number of parts, up to ``most``."""
         dim = x.shape[1] if x.ndim == 2 and x.size else DIM
-        parts = int(min(MAX_PARTS, math.ceil(n / PART_ROWS), max(1, len(x) // 40)))
+        parts = int(min(most, math.ceil(n / PART_ROWS), max(1, len(x) // 40)))
         x = np.clip(x, -1e6, 1e6)
         if parts < 2:
             return cls(np.zeros((1, dim)), np.zeros(1))
@@ -138,14 +141,16 @@ class PartRouter:
     def route(self, x: np.ndarray, r: float):
         """Yields (block, row numbers) so that any two rows within r meet in a block.
 
-        A neighbour y of x with home part j has s_j(y) >= s_i(y), hence s_j(x) >= s_i(x) - r |w_i - w_j|. Of two rows with
-        different homes one goes to the other's (see ``goes_to``).
+        A neighbour y of x with home part j has s_j(y) >= s_l(y) for every part l, hence s_j(x) >= s_l(x) - r |w_l - w_j|. Of two
+        rows with different homes one goes to the other's (see ``goes_to``).
         """
         s = x @ self.w.T + self.b
         i = s.argmax(1)
         gap = r * np.sqrt(np.maximum(0, ((self.w[:, None] - self.w[None]) ** 2).sum(2))) + 1e-9
         lacks = s[np.arange(len(x)), i][:, None] - s
         to = (lacks <= gap[i] + 1e-9 * np.abs(s).max(1, keepdims=True)) & goes_to(len(self.b))[i]
+        a, j = np.nonzero(to)
+        to[a, j] = (s[a] - s[a, j][:, None] <= gap[j] + 1e-9 * np.abs(s[a]).max(1, keepdims=True)).all(1)
         to[np.arange(len(x)), i] = True
         for j in np.nonzero(to.any(0))[0]:
             idx = np.nonzero(to[:, j])[0]
@@ -160,6 +165,13 @@ def goes_to(parts: int) -> np.ndarray:
     return np.where((i + j) % 2 == 0, j > i, j < i) | (i == j)
 
 
+def blocks_and_rows(routed: list) -> tuple[np.ndarray, np.ndarray]:
+    """(block, row number) of all that a batch is routed to, so that it leaves as one batch and not as one a block."""
+    if not routed:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.repeat(np.array([k for k, _ in routed], np.int64), [len(i) for _, i in routed]), np.concatenate([i for _, i in routed])
+
+
 def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> tuple[dict[int, int], int]:
     """Grows the router's trees until no block holds more than ``block_rows`` rows; returns the blocks (and their sizes) that do and
     that no tree cuts, as their rows lie too close together, and the number of blocks. A round counts all rows and draws BLOCK_SAMPLE of every large
@@ -184,15 +196,14 @@ def cut_large(points: DataFrame, router, r: float, dim: int = DIM, block_rows: i
         def draw(batches, open_=open_):
             for b in batches:
                 x, h = matrix(b.column(1), dim), b.column(2).to_numpy()
-                for k, i in router.route(x, r) if len(x) else ():
-                    if k in open_:
-                        i = i[h[i] < BLOCK_SAMPLE / open_[k]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k)), pack(x[i])], ["block", "x"])
+                got = [(k, i[h[i] < BLOCK_SAMPLE / open_[k]]) for k, i in router.route(x, r) if k in open_] if len(x) else []
+                k, i = blocks_and_rows(got)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pack(x[i])], ["block", "x"])
 
         def grow(key, t):
             x, n = unpack(t.column("x"), np.float64, dim), open_[key[0].as_py()]
-            # a leaf aims at half a block, and stands on 40 rows of the sample at least
-            return pa.table({"block": [key[0].as_py()], "tree": pa.array([pickle.dumps(kd_build(x, r, max(40, int(len(x) * block_rows / 2 / n))))], pa.binary())})
+            # a leaf aims at three quarters of a block, and stands on 40 rows of the sample at least
+            return pa.table({"block": [key[0].as_py()], "tree": pa.array([pickle.dumps(kd_build(x, r, max(40, int(len(x) * block_rows * 0.75 / n))))], pa.binary())})
 
         hashed = points.withColumn("h", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30))
         trees = hashed.mapInArrow(draw, "block long, x binary").groupBy("block").applyInArrow(grow, "block long, tree binary").collect()
@@ -216,8 +227,8 @@ def exchange(points: DataFrame, router, r: float, dim: int = DIM, block_rows: in
         for b in batches:
             x = matrix(b.column(1), dim)
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for k, i in router.route(x, r) if len(x) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k)), pa.array(ids[i]), pack(x[i])], ["block", "id", "x"])
+            k, i = blocks_and_rows(list(router.route(x, r)) if len(x) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[i]), pack(x[i])], ["block", "id", "x"])
 
     points = points.select("id", "x")
     sent = points.mapInArrow(send, "block long, id long, x binary")
@@ -242,10 +253,10 @@ def in_blocks(sent: DataFrame, kernel: Callable, schema: str, dim: int = DIM) ->
     return sent.groupBy("block", "s", "t").applyInArrow(run, schema)
 
 
-def fit_router(points: DataFrame, dim: int = DIM) -> tuple[PartRouter, np.ndarray, int]:
+def fit_router(points: DataFrame, dim: int = DIM, most: int = MAX_PARTS) -> tuple[PartRouter, np.ndarray, int]:
     n = points.count()
     x = matrix(hash_sample(points, n, SAMPLE_ROWS, ["x"]).column("x"), dim)
-    return PartRouter.fit(x, n), x, n
+    return PartRouter.fit(x, n, most=most), x, n
 
 
 def _smallest(members: DataFrame, k: int) -> DataFrame:
@@ -259,9 +270,9 @@ def _smallest(members: DataFrame, k: int) -> DataFrame:
 def near_lists(points: DataFrame, r: float, k: int, dim: int = DIM) -> DataFrame:
     """(src, dst, rnk, dist): for every point its k nearest others as far as they lie within r, exact. points: id, x, usable."""
     points = points.select("id", "x").persist()
-    router, _, _ = fit_router(points, dim)
+    router, _, _ = fit_router(points, dim, LIST_PARTS)
     reps, others, copies = split_copies(points)
-    links = in_blocks(exchange(reps, router, r, dim), lambda i, x, s: links_top_k(i, x, r, k, s), "src long, dst long, dist double", dim)
+    links = in_blocks(exchange(reps, router, r, dim, LIST_ROWS), lambda i, x, s: links_top_k(i, x, r, k, s), "src long, dst long, dist double", dim)
     links = links.dropDuplicates(["src", "dst"])
     if copies:
         w = Window.partitionBy("src").orderBy("dist", "dst")

@@ -222,3 +222,30 @@ def test_spread_width_is_not_widened_by_far_rows(spark):
     for rows in (x, far):
         width = subset.spread_width(subset._packed(as_points(spark, rows), 25), 25)
         assert width == pytest.approx(0.5 * np.sqrt((mad**2).sum()), rel=0.05)
+
+
+def test_leaves_hold_what_is_copied_into_them():
+    """A tree's leaves are as small as asked for with the rows that come in both sides, also beside far rows, and at few copies."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 25)) * np.linspace(1.9, 0.8, 25)
+    x[:60] *= 15
+    sizes = [len(i) for _, i in blocks.kd_route(blocks.kd_build(x, 0.4, 1000), x, 0.4)]
+    assert max(sizes) <= 1000 and sum(sizes) < 3 * len(x)
+
+
+@pytest.mark.parametrize("r", [0.4, 2.5])
+def test_near_pairs_come_once(cloud, monkeypatch, r):
+    x = np.r_[cloud[1], [vec(1e150), vec(-1e150), vec(1e150)]]
+    side = np.arange(len(x)) % 3
+    d = np.triu(distances(x) <= r, 1)
+    for cell, most in ((256, 1_000_000), (8, 50)):
+        monkeypatch.setattr(blocks, "CELL_ROWS", cell)
+        monkeypatch.setattr(blocks, "PAIRS", most)
+        for s, want in ((None, d), (side, d & (side[:, None] != side[None]))):
+            got = [(a, b) for i, j, _ in blocks.near_pairs(x, r, s) for a, b in zip(i.tolist(), j.tolist())]
+            assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(want))))
+
+
+def test_a_batch_leaves_as_one_batch():
+    block, row = knn.blocks_and_rows([(7, np.array([2, 0])), (3, np.array([1]))])
+    assert block.tolist() == [7, 7, 3] and row.tolist() == [2, 0, 1] and len(knn.blocks_and_rows([])[0]) == 0
