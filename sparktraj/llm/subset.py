@@ -7,8 +7,9 @@ than two nominations. The winners are kept, their span is deflated from what rem
 
 * ``varied_subset``: rounds until k rows are chosen. Deflation is the projection onto all rows chosen so far. Where every residual
   has run out before, the kernel is narrowed, to half the greatest distance to a chosen row at most, and the rounds go on.
-* ``cover``: no row is farther than ``radius`` from a chosen one, rows within it of a pick being deflated to nothing. As its size
-  follows the data, every task covers its own rows; no more than that is needed of a cover that is checked afterwards.
+* ``cover``: no row is farther than ``radius`` from a chosen one, rows within it of a pick being deflated to nothing. The first
+  tournament is over all rows. As the size of a cover follows the data, what it leaves open is cut into regions, as many as that
+  needs, and the next rounds are a tournament in each, all at once, until no row is open.
 
 Equal residuals go to the row that stands for more rows, then to the smaller id. Defined cases: unusable points are left out;
 infinities count as +-1e150; if k exceeds what is there, all distinct rows come first and then copies are left out (rows within
@@ -38,6 +39,8 @@ START = 8.0
 #: Rows that the tree of space is learned on, and rows aimed at for a leaf.
 TREE_SAMPLE, LEAF_ROWS = 8_000, 20_000
 NOMINEES = "node long, id long, weight double, x binary"
+#: Open rows of a region; a weight of 0 marks the rows that were chosen there before.
+REGIONAL = "region long, node long, id long, weight double, x binary"
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +108,7 @@ class _Rounds:
 
     def tournament(self, rows: DataFrame, chosen: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and x of the winners among rows (id, x as binary); at most ``most`` of them reach the driver."""
-        dim, best = self.dim, self.best
+        dim, best, radius = self.dim, self.best, self.radius
         names = ["node", "id", "weight", "x"]
 
         def nominate(batches):
@@ -115,7 +118,12 @@ class _Rounds:
                 ids, x = b.column(0).to_numpy(), unpack(b.column(1), np.float64, dim)
                 for s in range(0, len(ids), CHUNK):
                     i, y = ids[s : s + CHUNK], x[s : s + CHUNK]
-                    held = best(np.r_[held[0], i], np.r_[held[1], y], np.r_[held[2], np.ones(len(i))], chosen)
+                    if radius is not None:  # rows within the radius of a nominee are deflated, and count for it
+                        owner = covered(y, held[1], radius)
+                        np.add.at(held[2], owner[owner >= 0], 1.0)
+                        i, y = i[owner < 0], y[owner < 0]
+                    if len(i):
+                        held = best(np.r_[held[0], i], np.r_[held[1], y], np.r_[held[2], np.ones(len(i))], chosen)
             if len(held[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held[0]), node)), pa.array(held[0]), pa.array(held[2]), pack(held[1])], names)
 
@@ -179,25 +187,37 @@ def farthest(rows: DataFrame, chosen: np.ndarray, dim: int) -> float:
     return math.sqrt(rows.mapInArrow(run, "d2 double").agg(F.max("d2")).first()[0] or 0.0)
 
 
-def settled(held: tuple, ids: np.ndarray, x: np.ndarray, radius: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Picks (ids, x): those held and enough to cover the given rows. Rows farther than the radius from all picks are pivoted, and so
-    again those that the new picks leave uncovered, until there are none. A chunk is compared in tiles."""
-    at, px = held
-    for s in range(0, len(ids), CHUNK):
-        i, y = ids[s : s + CHUNK], x[s : s + CHUNK]
-        new = px
-        while len(i):
-            if len(new):
-                far = np.concatenate([(squared_distances(y[q : q + 1024], new) > radius * radius).all(1) for q in range(0, len(y), 1024)])
-                i, y = i[far], y[far]
-            if not len(i):
-                break
-            o = np.argsort(i, kind="stable")
-            i, y = i[o], y[o]
-            rows, _ = pivot(i, y, np.ones(len(i)), WIDTH, radius / 2, radius, None)
-            new = y[rows]
-            at, px = np.r_[at, i[rows]], np.r_[px, new] if len(px) else new
-    return at, px
+def covered(x: np.ndarray, by: np.ndarray, radius: float) -> np.ndarray:
+    """For each row the first of ``by`` within the radius, or -1; distances near the radius are taken from the differences."""
+    out = np.full(len(x), -1)
+    for s in range(0, len(x) if len(by) else 0, 1024):
+        y = x[s : s + 1024]
+        d2 = squared_distances(y, by)
+        i, j = np.nonzero(np.abs(d2 - radius * radius) <= 1e-9 * ((y**2).sum(1)[:, None] + (by**2).sum(1)[None]))
+        d2[i, j] = ((y[i] - by[j]) ** 2).sum(1)
+        hit = d2 <= radius * radius
+        out[s : s + 1024] = np.where(hit.any(1), hit.argmax(1), -1)
+    return out
+
+
+def inverse_factor(x: np.ndarray, width: float) -> np.ndarray:
+    return np.linalg.inv(np.linalg.cholesky(kernel(x, x, width) + 1e-9 * np.eye(len(x))))
+
+
+def _regional(region: int, node: int, ids, weight, x) -> pa.Table:
+    arrays = [pa.array(np.full(len(ids), region)), pa.array(np.full(len(ids), node)), pa.array(ids), pa.array(np.asarray(weight, float)), pack(x)]
+    return pa.table(arrays, names=["region", "node", "id", "weight", "x"])
+
+
+def _split(t: pa.Table, dim: int) -> tuple:
+    """Of a group of REGIONAL its open rows (ids, weight, x) by id, and the rows chosen before (ids, x), each once."""
+    ids, weight, x = t.column("id").to_numpy(), t.column("weight").to_numpy(), unpack(t.column("x"), np.float64, dim)
+    o = np.argsort(ids, kind="stable")
+    o = o[weight[o] > 0]
+    was, first = np.unique(np.where(weight > 0, -1, np.arange(len(ids))), return_index=True)
+    first = first[was >= 0]
+    first = first[np.unique(ids[first], return_index=True)[1]]
+    return ids[o], weight[o], x[o], ids[first], x[first]
 
 
 def _space(rows: DataFrame, dim: int) -> tuple[list, int]:
@@ -208,22 +228,74 @@ def _space(rows: DataFrame, dim: int) -> tuple[list, int]:
     return kd_build(x, 0.0, max(8, int(len(x) * LEAF_ROWS / max(1, n)))), n
 
 
-def cover(points: DataFrame, radius: float, dim: int = DIM) -> tuple[DataFrame, DataFrame, list]:
-    """Chosen rows (id, x as binary) such that every usable point lies within the radius of one; all rows packed; the tree.
+def regional_round(state: DataFrame, last: int, radius: float, before: np.ndarray, dim: int) -> DataFrame:
+    """(region, id, x): the winners of a tournament in every region, nodes 0 to ``last`` at most. What was chosen before goes up the
+    tree with the nominations, so that its span is projected out at every step. Where that leaves nothing the kernel is narrowed, so
+    a region with open rows has a winner."""
 
-    Every task covers its own rows by pivoted factorisations, reading them once; where several tasks have rows in one place each
-    has its picks there, so the cover is not the least one."""
+    def best(t):
+        ids, weight, x, was, wx = _split(t, dim)
+        span, width, rows = np.r_[before, wx], radius / 2, np.empty(0, np.int64)
+        while len(ids) and not len(rows):
+            touched = span[kernel(x, span, width).max(0) > 1e-6] if len(span) else span
+            rows, gain = pivot(ids, x, weight, WIDTH, width, radius, (touched, inverse_factor(touched, width)) if len(touched) else None)
+            width /= 2
+        won = (ids[rows], gain, x[rows]) if len(rows) else (ids, weight, x)
+        return _regional(t.column("region")[0].as_py(), t.column("node")[0].as_py(), np.r_[won[0], was], np.r_[won[1], np.zeros(len(was))], np.r_[won[2], wx])
+
+    up = state.groupBy("region", "node").applyInArrow(best, REGIONAL)
+    while last:
+        last >>= 1
+        up = up.withColumn("node", F.shiftright("node", 1)).groupBy("region", "node").applyInArrow(best, REGIONAL)
+    return up.where("weight > 0").select("region", "id", "x")
+
+
+def cover(points: DataFrame, radius: float, dim: int = DIM) -> tuple[DataFrame, DataFrame, list]:
+    """Chosen rows (id, x as binary) such that every usable point lies within the radius of one; all rows packed; the tree."""
     rows = materialize(_packed(points, dim), "packed")
     tree, _ = _space(rows, dim)
+    ids, first = _Rounds(radius / 2, radius, WIDTH, dim).tournament(rows, None)
+    chosen = points.sparkSession.createDataFrame(pa.table({"id": ids, "x": pack(first)}), "id long, x binary")
 
-    def nominate(batches):
-        held = (np.empty(0, np.int64), np.empty((0, dim)))
+    def still_open(batches):
         for b in batches:
-            held = settled(held, b.column(0).to_numpy(), unpack(b.column(1), np.float64, dim), radius, dim)
-        if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pack(held[1])], ["id", "x"])
+            o = np.nonzero(covered(unpack(b.column(1), np.float64, dim), first, radius) < 0)[0]
+            yield b.take(pa.array(o))
+
+    left = materialize(rows.mapInArrow(still_open, "id long, x binary"), "open")
+    n = left.count()
+    if not n:
+        return chosen, rows, tree
+    t = hash_sample(left, n, TREE_SAMPLE, ["x"])
+    x = np.clip(unpack(t.column("x"), np.float64, dim), -1e6, 1e6)
+    regions = kd_build(x, 0.0, max(8, int(len(x) * 4 * WIDTH / n)))
 
-    return materialize(rows.mapInArrow(nominate, "id long, x binary"), "chosen"), rows, tree
+    def home(batches):
+        for b in batches:
+            x = unpack(b.column(1), np.float64, dim)
+            region = np.zeros(len(x), np.int64)
+            for leaf, i in kd_route(regions, x, None) if len(x) else ():
+                region[i] = leaf
+            yield pa.RecordBatch.from_arrays([pa.array(region), b.column(0), pa.array(np.ones(len(x))), b.column(1)], ["region", "id", "weight", "x"])
+
+    def uncovered(t):
+        ids, weight, x, was, wx = _split(t, dim)
+        o = np.nonzero(covered(x, wx, radius) < 0)[0]
+        if not len(o):
+            was, wx = was[:0], wx[:0]
+        return _regional(t.column("region")[0].as_py(), t.column("node")[0].as_py(), np.r_[ids[o], was], np.r_[weight[o], np.zeros(len(was))], np.r_[x[o], wx])
+
+    at = left.mapInArrow(home, "region long, id long, weight double, x binary")
+    sizes = small_side(at.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("m")))[0]  # a row per region
+    state = materialize(at.join(sizes, "region").withColumn("node", F.pmod(F.xxhash64("id"), F.col("m"))).select("region", "node", "id", "weight", "x"), "state")
+    while True:
+        last = state.agg(F.max("node")).first()[0]
+        if last is None:
+            return chosen, rows, tree
+        won = materialize(regional_round(state, last, radius, first, dim), "won")
+        chosen = materialize(chosen.unionByName(won.select("id", "x")), "chosen")
+        told = state.select("region", "node").distinct().join(won, "region").withColumn("weight", F.lit(0.0))
+        state = materialize(state.unionByName(told).groupBy("region", "node").applyInArrow(uncovered, REGIONAL), "state")
 
 
 def varied_subset(points: DataFrame, k: int, width: float | None = None, dim: int = DIM, most: int = 256) -> DataFrame:
@@ -232,7 +304,7 @@ def varied_subset(points: DataFrame, k: int, width: float | None = None, dim: in
     width = width or START * spread_width(rows, dim)
     ids, xs = np.empty(0, np.int64), np.empty((0, dim))
     while len(ids) < k:
-        before = (xs, np.linalg.inv(np.linalg.cholesky(kernel(xs, xs, width) + 1e-9 * np.eye(len(xs))))) if len(ids) else None  # once a round
+        before = (xs, inverse_factor(xs, width)) if len(ids) else None  # once a round
         got, x = _Rounds(width, None, min(most, k - len(ids)), dim).tournament(rows, before)
         new = ~np.isin(got, ids)
         if not new.any():

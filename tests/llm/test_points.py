@@ -249,3 +249,18 @@ def test_near_pairs_come_once(cloud, monkeypatch, r):
 def test_a_batch_leaves_as_one_batch():
     block, row = knn.blocks_and_rows([(7, np.array([2, 0])), (3, np.array([1]))])
     assert block.tolist() == [7, 7, 3] and row.tolist() == [2, 0, 1] and len(knn.blocks_and_rows([])[0]) == 0
+
+
+def test_cover_is_chosen_by_tournaments(cloud, monkeypatch):
+    """Nominations of tasks and of regions' nodes are merged up a tree, with the span of earlier winners out, over several rounds."""
+    calls, real = [], subset.regional_round
+    monkeypatch.setattr(subset, "regional_round", lambda state, last, *a: calls.append(last) or real(state, last, *a))
+    monkeypatch.setattr(subset, "WIDTH", 4)
+    monkeypatch.setattr(subset, "CHUNK", 8)
+    df, x = cloud
+    chosen, _, _ = subset.cover(df.repartition(5), 8.0)
+    ids = [r["id"] for r in chosen.collect()]
+    assert calls and max(calls) > 0 and len(ids) == len(set(ids))
+    assert (np.sqrt(((x[:, None] - x[ids][None]) ** 2).sum(2)).min(1) <= 8.0).all()
+    d = distances(x[ids])
+    assert (d.min(1) > 8.0).sum() >= 12 and len(ids) < len(x) // 8  # the lone rows among them, and not many more
